@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Every code point with the Unicode property White_Space, and the four separators U+001C to U+001F.
-WHITE_SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
+WHITE_SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def strip_space(c: Column) -> Column:
