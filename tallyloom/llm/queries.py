@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.time import day_number, day_text, week_start
-from tallyloom.llm import distinct, pairs, topn
+from tallyloom.llm import distinct, leakage, packing, pairs, topn
 from tallyloom.operators.valid import valid_rows
 from tallyloom.plans.sqltext import DAY, VALID
 from tallyloom.plans.tables import table, valid
@@ -100,10 +100,29 @@ def p5_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.scores(min_count=2, min_lift=2).select(F.col("period").alias("week_start"), "item_a", "item_b", "baskets", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
 
 
+P6_CAPACITY = 2048
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and place of every document, 2,048 tokens to a container."""
+    sizes = materialize(packing.token_sizes(table(spark, sf_dir, "documents")), "token-sizes")
+    return packing.pack(sizes, P6_CAPACITY)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry text of evaluation items."""
+    return p7_passages(spark, sf_dir).select("doc_id", "eval_id")
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p7_found, with the place of the longest passage, its words and edits."""
+    return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p2_distinct_users, p2_trailing_users, p3_found, p3_best_items, p5_found, p5_category_pairs, p5_incremental)
+        for f in (p2_distinct_users, p2_trailing_users, p3_found, p3_best_items, p5_found, p5_category_pairs, p5_incremental, p6_containers, p7_found, p7_passages)
     }
 
 
