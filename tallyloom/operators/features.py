@@ -15,23 +15,30 @@ from tallyloom.session import materialize
 ALL = "all"
 
 
-def type_rows(log: DataFrame, buckets: int | None = None) -> DataFrame:
+def type_rows(log: DataFrame, unique_by: list[str] | None = None) -> DataFrame:
     """user_id, event_type, n, days, last_ts of a log of user_id, behavior, category, ts: one row for each entity and each type that it has.
 
-    Types are ``all``, each behavior, and each ``behavior/category``. Counts are combined by (entity, behavior, category, day) before any shuffle by entity, so
-    an entity with a third of all rows sends at most its days times its types. Rows with a null entity, behavior or time are left out; a null category counts
-    towards ``all`` and the behavior only.
+    Types are ``all``, each behavior, and each ``behavior/category``. Rows with a null entity, behavior or time are left out; a null category counts towards
+    ``all`` and the behavior only. unique_by: columns, user_id and ts among them, in which rows alike count once.
+
+    The first shuffle splits each entity by minute, so an entity with a third of all rows is spread over as many tasks as it has minutes; what is left after
+    counting by (entity, minute, behavior, category) goes to the entity's one task.
     """
-    daily = (
-        log.filter("user_id is not null and behavior is not null and ts is not null")
-        .groupBy("user_id", "behavior", "category", day_number(F.col("ts")).alias("day"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
-    )
+    rows = log.filter("user_id is not null and behavior is not null and ts is not null").withColumn("_minute", F.call_function("div", F.col("ts") - F.pmod("ts", F.lit(60).cast("bigint")), F.lit(60).cast("bigint")))
+    rows = rows.repartition("user_id", "_minute")
+    if unique_by:
+        rows = rows.select(*unique_by, *[c for c in ("user_id", "behavior", "category", "ts", "_minute") if c not in unique_by]).distinct()
+    counted = rows.groupBy("user_id", "_minute", "behavior", "category").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
     pair = F.concat_ws("/", "behavior", "category")
     types = F.array_compact(F.array(F.lit(ALL), F.col("behavior"), F.when(F.col("category").isNotNull(), pair)))
-    by_day = daily.select("user_id", F.explode(types).alias("event_type"), "day", "n", "last_ts").groupBy("user_id", "event_type", "day").agg(F.sum("n").alias("n"), F.max("last_ts").alias("last_ts"))
-    by_entity = by_day.repartition(buckets, "user_id") if buckets else by_day.repartition("user_id")
-    return by_entity.groupBy("user_id", "event_type").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("days"), F.max("last_ts").alias("last_ts"))
+    return (
+        counted.repartition("user_id")
+        .select("user_id", day_number(F.col("last_ts")).alias("day"), "n", "last_ts", F.explode(types).alias("event_type"))
+        .groupBy("user_id", "event_type", "day")
+        .agg(F.sum("n").alias("n"), F.max("last_ts").alias("last_ts"))
+        .groupBy("user_id", "event_type")
+        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("days"), F.max("last_ts").alias("last_ts"))
+    )
 
 
 def event_types(rows: DataFrame, most: int = 20_000) -> list[str]:
@@ -42,13 +49,14 @@ def event_types(rows: DataFrame, most: int = 20_000) -> list[str]:
     return sorted(found)
 
 
-def feature_table(log: DataFrame, block_size: int = 30, as_of: int | None = None, types: list[str] | None = None) -> DataFrame:
+def feature_table(log: DataFrame, block_size: int = 30, as_of: int | None = None, types: list[str] | None = None, unique_by: list[str] | None = None) -> DataFrame:
     """One row per entity: user_id and, for each type t, ``t_n`` (actions, 0 if none), ``t_days`` (active days, 0 if none) and ``t_since_s`` (seconds from the last
     action to as_of, null if none).
 
-    as_of: epoch seconds, by default the latest action of all. types: the columns to make, by default all that occur. An empty log gives no rows.
+    as_of: epoch seconds, by default the latest action of all. types: the columns to make, by default all that occur. unique_by: as in type_rows. An empty log gives
+    no rows.
     """
-    rows = materialize(type_rows(log), "type-rows")
+    rows = materialize(type_rows(log, unique_by), "type-rows")
     names = event_types(rows) if types is None else list(types)
     if as_of is None:
         as_of = rows.filter(F.col("event_type") == ALL).agg(F.max("last_ts")).first()[0] or 0
@@ -59,22 +67,23 @@ def feature_table(log: DataFrame, block_size: int = 30, as_of: int | None = None
     if not number:
         return table
     for block in blocks:
+        # A pivot finds the column of a row by its type, where conditional aggregates would test every column on every row.
         wide = (
             rows.filter(F.col("event_type").isin(block))
             .repartition("user_id")
             .groupBy("user_id")
-            .agg(
-                *[
-                    x
-                    for t in block
-                    for is_t in [F.col("event_type") == t]
-                    for x in (
-                        F.coalesce(F.max(F.when(is_t, F.col("n"))), F.lit(0)).cast("bigint").alias(f"{t}_n"),
-                        F.coalesce(F.max(F.when(is_t, F.col("days"))), F.lit(0)).cast("bigint").alias(f"{t}_days"),
-                        (F.lit(as_of).cast("bigint") - F.max(F.when(is_t, F.col("last_ts")))).alias(f"{t}_since_s"),
-                    )
-                ]
-            )
+            .pivot("event_type", block)
+            .agg(F.first("n").alias("n"), F.first("days").alias("days"), F.first("last_ts").alias("last_ts"))
         )
         table = table.join(wide, "user_id", "left")
-    return table.select("user_id", *[F.coalesce(F.col(f"`{t}_{k}`"), F.lit(0).cast("bigint")).alias(f"{t}_{k}") if k != "since_s" else F.col(f"`{t}_{k}`") for t in names for k in ("n", "days", "since_s")])
+    none = F.lit(0).cast("bigint")
+    columns = [
+        x
+        for t in names
+        for x in (
+            F.coalesce(F.col(f"`{t}_n`"), none).alias(f"{t}_n"),
+            F.coalesce(F.col(f"`{t}_days`"), none).alias(f"{t}_days"),
+            (F.lit(as_of).cast("bigint") - F.col(f"`{t}_last_ts`")).alias(f"{t}_since_s"),
+        )
+    ]
+    return table.select("user_id", *columns)

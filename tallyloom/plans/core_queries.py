@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import features, sessions
+from tallyloom.operators.valid import valid_rows
 from tallyloom.plans.sqltext import VALID
-from tallyloom.plans.tables import valid
+from tallyloom.plans.tables import table, valid
 from tallyloom.schema import BEHAVIORS
 from tallyloom.session import materialize
 
@@ -33,7 +34,8 @@ def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user: actions, active days and seconds since the last action, in all, by behavior and by behavior and category."""
-    return features.feature_table(valid(spark, sf_dir))
+    rows = valid_rows(table(spark, sf_dir, "user_behavior_log"))
+    return features.feature_table(rows, unique_by=rows.columns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
