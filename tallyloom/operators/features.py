@@ -1,7 +1,6 @@
 """One row of features per entity from events: counts, active days and recency in all and for each event type.
 
-Event types are cut into blocks; each block is aggregated by entity on its own, keeping generated code small, and the blocks are joined onto the table of all
-entities. The long table, the blocks and the entity table share one hash partitioning by entity, so the joins move nothing.
+Event types are cut into blocks; each block is aggregated by entity on its own, and the blocks are joined onto the table of all entities. The long table, the blocks and the entity table share one hash partitioning by entity, so the joins move nothing.
 """
 
 from __future__ import annotations
@@ -62,28 +61,24 @@ def feature_table(log: DataFrame, block_size: int = 30, as_of: int | None = None
         as_of = rows.filter(F.col("event_type") == ALL).agg(F.max("last_ts")).first()[0] or 0
     entities = rows.filter(F.col("event_type") == ALL).select("user_id")
     blocks = [names[i : i + block_size] for i in range(0, len(names), block_size)]
-    number = {t: i for i, block in enumerate(blocks) for t in block}
     table = entities.repartition("user_id")
-    if not number:
-        return table
-    for block in blocks:
-        # A pivot finds the column of a row by its type, where conditional aggregates would test every column on every row.
-        wide = (
+    # A block's features travel as one map of at most block_size entries: joining some hundred columns at a time would make methods too large for the JIT compiler.
+    for k, block in enumerate(blocks):
+        own = (
             rows.filter(F.col("event_type").isin(block))
             .repartition("user_id")
             .groupBy("user_id")
-            .pivot("event_type", block)
-            .agg(F.first("n").alias("n"), F.first("days").alias("days"), F.first("last_ts").alias("last_ts"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n", "days", "last_ts")))).alias(f"_block{k}"))
         )
-        table = table.join(wide, "user_id", "left")
+        table = table.join(own, "user_id", "left")
     none = F.lit(0).cast("bigint")
-    columns = [
-        x
-        for t in names
-        for x in (
-            F.coalesce(F.col(f"`{t}_n`"), none).alias(f"{t}_n"),
-            F.coalesce(F.col(f"`{t}_days`"), none).alias(f"{t}_days"),
-            (F.lit(as_of).cast("bigint") - F.col(f"`{t}_last_ts`")).alias(f"{t}_since_s"),
-        )
-    ]
+    columns = []
+    for k, block in enumerate(blocks):
+        for t in block:
+            entry = F.try_element_at(F.col(f"_block{k}"), F.lit(t))
+            columns += [
+                F.coalesce(entry["n"], none).alias(f"{t}_n"),
+                F.coalesce(entry["days"], none).alias(f"{t}_days"),
+                (F.lit(as_of).cast("bigint") - entry["last_ts"]).alias(f"{t}_since_s"),
+            ]
     return table.select("user_id", *columns)
