@@ -82,8 +82,10 @@ def _is_name(forms: list[str], classes: list[str], a: int, b: int) -> bool:
     small = sum(w[0].islower() for w in words)
     if not small:
         return True
-    before, after = classes[max(0, a - 2) : a], classes[b : b + 1]
-    return small == len(words) and (any(c in ("=", "|", '"') or c.startswith("C_WHO") for c in before) or after in (["<"], ["("], ["|"]))
+    before, after = range(max(0, a - 3), a), classes[b : b + 1]
+    # ``de`` and ``von`` announce a sender only before a colon.
+    announced = any(classes[t] in ("=", "|", '"') or (classes[t].startswith("C_WHO") and (forms[t].lower() not in _PARTICLES or classes[t + 1] == ":")) for t in before)
+    return small == len(words) and (announced or after in (["<"], ["("], ["|"]))
 
 
 def _is_address(classes: list[str]) -> bool:

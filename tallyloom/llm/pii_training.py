@@ -19,7 +19,7 @@ They asked for a national id, it is {I}.|My social number is {I}.|The form shows
 New address: {A}.|New address: {A}. {W} {w} {w}.|Ship it to {A}.|Deliver to: {A}|Deliver to: {A} {W} {w} {w}.|I live at {A}, near the {w}.|The {w} went to {A} instead.|address={A}|address={A} {W} {w} {w}.|Pick it up from {A} please.|{w}, see {A}.|{"address": "{A}"}|We moved to {A} last {w}.
 The {g} {w} and the {g} {w} sell well together.|The {g} {w} sells well.|Our {g} {w} costs {m} now, was {m}.|The {s} {w} is {w}.|The {W} {W} collection has {n} pieces.|Batch {b} was recalled.|Batch {b} is {w}.|Tracking number {d} shows {w}.|Timestamp {d} looks odd.|Server 10.{n}.{n}.{n} is {w}.|See shop.example/help?id={d} for rules.|Follow @{h} for news.|Reference @{h}, see also {c}.|Reference SKU {k}, see also {c}.|Reference EAN {e}, see also {c}.|Reference {v}, see also {c}.|Reference {n} x {n} x {n} mm, see also {c}.|On parcel {q} the count of {w} rose to {n}.|User {n} and {n} others {w} it.|Item {i} shows {n} {w} but only {n} {w}.|Order {c} lists a {w} {w} for {m} and a {w} for {m}.|Ticket {c} is open: the {w} was {w}.|I paid {m} for {i}, {w}.|Made of {w}, it weighs {n} grams.|In {w}, {w} rose by {n} percent {w}.|Customers in {w} {w} {w} {w}.|The {w} of the {w} feels {w} and I am {w}.|{W} {w} the {w}, {w} {w}.|We {w} it {w}, so the {w} {w}.|{n} visitors saw {w} {w} in {t}, {n} saved them, {n} paid a {w} {w}.|On {W} the {w} of {t} weighed {n} {w}, {n} {w} and {n} {w}.|Then {n} {w} went to {t} and {n} were {w}.|In {t}, {w} {w} cost {n} coins, {w} {w} cost {n}, and one {w} {w} {w} both.|A {w} {w} from {t} shipped {n} {w} on {W} and returned {n} {w} by {W}.|Agent: {W} {w} {w} {w}.|Customer: {W} {w} {w}.|| {w} | {n} | {n} | {m} ||{w};{n};{n};{m}|Re: {c}, {w} {w}|{c} / {w}|# {w}: {w} {w}|* {w}: {n} {w}|{i} - {w} {w} ({w})|Week in review, {w}|To all sellers in {w}:|Given {n} crates and {n} coins, {w} {w}?|Port {W} and {W} Sands {w}.|The {w} came on {W} and the {w} was {w}.|Hotel {W} and {W} Market are {w}.|{W} {W} Ltd shipped it.|The brand {W} {W} is {w}.|It was {w}, {w} and {w}.|On {y} the count of {w} rose to {n}.|For {t} on {W}, {w} {w} {w}?|for {t} on {w}, {w} {w}|{n} {w} of {t}, some {t} and both {t}.|By {W} another {w} {w} {n} more in {t}, until the {w} {w}.|The {W} Road collection has {n} pieces.|{W} Street is the name of our {w} {w}.|Rate {n}.5 @ {m} each.|{W}, the {w} is {w}, yet the {w} is {w}.|Some {n} {w} were {w}, {n} never left {t}, unless a {w} {w}.|The {g} {W} lamp is {w}.|Kind regards,\n{N}|Thanks, {N}|Sincerely, {N}.|Attn: {N}|Contact: {N}, {P}|{N} lives at {A}."""
 DE = """Mein Name ist {N}.|Hallo {N}, wir haben unter {P} angerufen.|Hallo {N}, {w}.|{N} hat das Paket nie bekommen.|{N} hat unterschrieben.|Bitte an Frau {N} weiterleiten.|Bitte an Herrn {N} weiterleiten.|Viele Grüße, {N}|Viele Grüße, {N} {W} {w} {w}.|Mit freundlichem Gruß\n{N}\n{A}\nTel. {P}|Empfänger: {N}|Empfänger: {N} {W} {w}.|Von: {N} <{E}>|{N}, {A}, Ausweis {I}.|{N}, {A}.|Ich bin unter {E} erreichbar.|{E} ist meine Anmeldung.|Bitte an {E} schreiben.|Unter {P} ist niemand da.|Unter {P} erreicht man {w}.|Rufen Sie {P} an.|Meine Nummer: {P}|Meine Nummer: {P}. {W} {w}.|Ausweis: {I}|Ausweis: {I} {W} {w} {w}.|Ausweisnummer {I}.|Mein Personalausweis hat die Nummer {I}.|Meine Steuer-ID ist {I}.|Bitte liefern an {A}.|Bitte liefern an {A}. {W} {w}.|Ich wohne in der Nähe: {A}.|Anschrift: {A}|Anschrift: {A} {W} {w} {w}.|Das Paket ging an {A}.|Die Lampe {g} und die {W} {w} {w}.|Die Serie {g} {w}.|Das Modell {g} {W} hat {n} Teile.|Charge {b} wurde zurückgerufen.|Sendung {d} ist unterwegs.|Siehe EAN {e} und {c}.|Siehe SKU {k} und {c}.|Siehe {n} x {n} x {n} mm und {c}.|Siehe @{h} und {c}.|Siehe {v} und {c}.|Die {W} kostet {m}, vorher {m}.|Die {W} kam {w} {W} und war {w}.|Artikel {i} hat {n} Klicks, aber {n} Käufe.|Bestellung {c} nennt eine {W} für {m} Euro.|Die {W} stiegen um {n} Prozent.|Ich habe sie {w}, weil die {w} {w} war.|Wie immer, die {W} ist {w}.|Ehrlich gesagt, die {W} wirkt {w}.|Am {W} wurden in {t} {n} {W} {w}, dazu {n} {W} vom {w} {W}.|Danach blieben {n} {W} in {t}, {w} der {W} {w}, und {n} wurden {w}.|Im Lager von {t} hat ein {w} {W} {n} {W} und {n} {W} bis {W} {w}.|Beratung: Die {W} ist {w}.|Kunde: Es geht so, die {W} wirkt {w}.|Betreff: {W} {w}|Wochenbericht EAN {e}|Wenn {n} Kisten und {n} Münzen bleiben, {w}?|Nochmal würde ich es nicht nehmen.|Die Serie {W}straße umfasst {n} Teile.|Folgt @{h}.|Später hat der {W} aus {t} {n} {W} {w}, falls der {W} {w}.|Mit freundlichen Grüßen, {N}|Frau {N} war nicht da.|Kontakt: {N}, {P}"""
-ES = """Me llamo {N}.|Me llamo {N} y {w}.|Hola {N}, llamamos al {P}.|{N} nunca recibió el {w}.|Firmado: {N}|Un saludo,\n{N}\n{A}\nTel. {P}|Destinatario: {N}|De: {N} <{E}>|{N}, DNI {I}, {A}.|Firmó {N}, no yo.|Pregunten por la señora {N}.|Hablé con {N} sobre el {w}.|Correo: {E}|Correo: {E} {W} {w}.|Mi cuenta es {E}.|Escriban a {E}, {w}.|Llamen al {P}.|Mi número es {P}.|Nadie contesta en {P}.|Tel.: {P}|Mi DNI es {I}.|DNI: {I}|DNI: {I} {W} {w}.|Mi identidad {I}.|Documento de identidad {I}.|Dirección: {A}|Dirección: {A} {W} {w} {w}.|Vivo en {A}, al lado del {w}.|El paquete fue a {A}.|Envíenlo a {A}.|La colección {S} tiene {n} piezas.|La lámpara {g} y la mesa {g} {w}.|Lote {b} retirado.|Envío {d} en camino.|Sigan a @{h}.|Véase EAN {e} y {c}.|Véase SKU {k} y {c}.|Véase {v} y {c}.|Véase parcel {q} y {c}.|La {w} cuesta {m}, antes {m}.|El artículo {i} tiene {n} clics.|El pedido {c} incluye una {w} por {m} euros.|Este mes las {w} subieron un {n} por ciento.|Por ahora, la {w} es {w}.|Al final la {w}, {w} la {w}.|En {t} un {w} {w} contó {n} {w} y {n} {w} antes del {w}.|Luego {n} {w} quedaron en {t}, {w}, y el {w} envió {n}.|El {w} en {t} se vieron {n} {w}, {n} {w} y un {w} {w}.|Con {n} cajones y {n} monedas, {w}?|Agente: Sinceramente, la {w} es {w}.|Cliente: La {w} llegó {w}.|Asunto: {w} {w}|Informe SKU {k}|Ni bien ni mal.|Saludos, {N}|Saludos, {N} {W} {w} {w}.|Atentamente, {N}.|Un abrazo, {N}.|{n} robots de {w} y {n} {w} de {w}.|En {t} un {w} {w} contó {n} silbatos de {w} y {n} teteras de {w} antes del {w}.|El {W} en {t} se vieron {n} {w} de {w}, {n} {w} y un {w} {w} que {w} el resto.|Si se pierde el {n} por ciento de {w} de {w} el {w}, {w}?|Más tarde el {w} de {t} {w} {n} {w}, si falla la {w}."""
+ES = """Me llamo {N}.|Me llamo {N} y {w}.|Hola {N}, llamamos al {P}.|{N} nunca recibió el {w}.|Firmado: {N}|Un saludo,\n{N}\n{A}\nTel. {P}|Destinatario: {N}|De: {N} <{E}>|{N}, DNI {I}, {A}.|Firmó {N}, no yo.|Pregunten por la señora {N}.|Hablé con {N} sobre el {w}.|Correo: {E}|Correo: {E} {W} {w}.|Mi cuenta es {E}.|Escriban a {E}, {w}.|Llamen al {P}.|Mi número es {P}.|Nadie contesta en {P}.|Tel.: {P}|Mi DNI es {I}.|DNI: {I}|DNI: {I} {W} {w}.|Mi identidad {I}.|Documento de identidad {I}.|Dirección: {A}|Dirección: {A} {W} {w} {w}.|Vivo en {A}, al lado del {w}.|El paquete fue a {A}.|Envíenlo a {A}.|La colección {S} tiene {n} piezas.|La lámpara {g} y la mesa {g} {w}.|Lote {b} retirado.|Envío {d} en camino.|Sigan a @{h}.|Véase EAN {e} y {c}.|Véase SKU {k} y {c}.|Véase {v} y {c}.|Véase parcel {q} y {c}.|La {w} cuesta {m}, antes {m}.|El artículo {i} tiene {n} clics.|El pedido {c} incluye una {w} por {m} euros.|Este mes las {w} subieron un {n} por ciento.|Por ahora, la {w} es {w}.|Al final la {w}, {w} la {w}.|En {t} un {w} {w} contó {n} {w} y {n} {w} antes del {w}.|Luego {n} {w} quedaron en {t}, {w}, y el {w} envió {n}.|El {w} en {t} se vieron {n} {w}, {n} {w} y un {w} {w}.|Con {n} cajones y {n} monedas, {w}?|Agente: Sinceramente, la {w} es {w}.|Cliente: La {w} llegó {w}.|Asunto: {w} {w}|Informe SKU {k}|Ni bien ni mal.|Saludos, {N}|Saludos, {N} {W} {w} {w}.|Atentamente, {N}.|Un abrazo, {N}.|{n} robots de {w} y {n} {w} de {w}.|En {t} un {w} {w} contó {n} silbatos de {w} y {n} teteras de {w} antes del {w}.|El {W} en {t} se vieron {n} {w} de {w}, {n} {w} y un {w} {w} que {w} el resto.|Si se pierde el {n} por ciento de {w} de {w} el {w}, {w}?|Más tarde el {w} de {t} {w} {n} {w}, si falla la {w}.|La {w} de {w} parece más {w} de lo {w}.|La {w} de {w} es {w}.|La {w} de {w} llegó {w} y estaba {w}.|Por ahora, la {w} de {w} {w} {w}."""
 ZH = """我叫{N}，下过两次单。|收件人：{N}。|收件人：{N}，电话：{P}，地址：{A}。|收件人：{N}|姓名：{N}\n证件：{I}|签收人是{N}，不是我。|{N}一直没有收到包裹。|{N}（{P}）会来取。|联系人：{N}，{P}|请找{N}女士。|{N}先生说很好。|请打{P}。|拨{P}没人接。|我的号码是{P}，晚上在。|电话：{P}|手机：{P}|邮箱：{E}|请发邮件到{E}。|注册用的是{E}，谢谢。|我的账号是{E}。|身份证号{I}。|证件：{I}|证件：{I}。|实名认证填的是{I}。|请寄到{A}。|包裹送去了{A}。|我住在{A}，靠近河边。|地址：{A}。|地址：{A}|批号{b}已召回。|运单{d}已发出。|请关注@{h}。|参见EAN {e}与{c}。|参见SKU {k}与{c}。|参见{v}与{c}。|参见{n} x {n} x {n} mm与{c}。|商品{i}有{n}次点击，{n}次收藏。|订单{c}里有一件耳机，价格{m}元。|挂钟现价{m}，原价{m}。|本周浏览量上升百分之{n}。|总之，这款背包很结实。|耳机当天晚上送到，落了灰。|顾客：目前来看，购买数回升，一般般。|客服：没看尺码表，我申请了退货。|大家都一次买了两件，孩子很喜欢。|顺便说一句，浏览量下降，有些失望。|周报 EAN {e}|# 加购数下降|桑叶茶和白桃酒一起卖得好。|照例，收藏数翻倍，总体满意。|主题：登山鞋完美无缺|烤盘周一就到了，做工不错。|温水瓶和金边碗很好看。|这款{z}做工不错。|{z}当天晚上送到，比想象的短。|总之，这款{z}声音大。|{z}现价{m}，原价{m}。|{z}周末才收到，弯了。|订单{c}里有一件{z}，价格{m}元。|主题：{z}比旧款重|# {z}|{z} {m}元|{r}系列有{n}款。|{r}茶是我们的新品。|喜欢{z}，不会再买{z}。|大家都一次买了两件{z}，算是惊喜。"""
 _GIVEN = "Anna Clara Peter Martin Thomas Julia Erik Nora Oscar Helen Robert Susan David Laura Paul Emma Lukas Hannah Felix Marie Carlos Lucía Diego Elena Pablo Sofía Álvaro Inés Jürgen Sören Ülkü".split()
 _SYL = "ba be bo bram cal cor da dell den dor dun el fal fen gal gar har hol is jo kel ken lan lor lu mar mel mir nel nor os pel per quin ra ren ro sal sel sten ta tam tar tor ul van vel vi wal wen wil wyn yor zel zan".split()

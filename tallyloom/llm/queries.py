@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.time import day_number, day_text, week_start
-from tallyloom.llm import distinct, leakage, packing, pairs, topn
+from tallyloom.llm import distinct, leakage, packing, pairs, pii, topn
 from tallyloom.operators.valid import valid_rows
 from tallyloom.plans.sqltext import DAY, VALID
 from tallyloom.plans.tables import table, valid
@@ -119,10 +119,20 @@ def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of personal information in the documents."""
+    return pii.personal_spans(table(spark, sf_dir, "documents")).select("doc_id", "start_pos", "kind")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return pii.redacted(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p2_distinct_users, p2_trailing_users, p3_found, p3_best_items, p5_found, p5_category_pairs, p5_incremental, p6_containers, p7_found, p7_passages)
+        for f in (p2_distinct_users, p2_trailing_users, p3_found, p3_best_items, p5_found, p5_category_pairs, p5_incremental, p6_containers, p7_found, p7_passages, p8_found, p8_redacted)
     }
 
 
