@@ -1 +1 @@
-
+"""Sinks."""

@@ -1 +1 @@
-
+"""Sources: files, streams, and the seeded generator."""
