@@ -52,9 +52,16 @@ def quality(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+#: 2000-01-01 and the length of the calendar's cycle of 400 years, in seconds; weekdays repeat with it.
+_Y2000, _CYCLE, _Y10000 = 946_684_800, 146_097 * 86_400, 253_402_300_800
+
+
 def local_time(ts: Column, timezone: str) -> Column:
-    """TIMESTAMP_NTZ of epoch seconds in a time zone, whatever the session's."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(timezone), F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ts.cast("decimal(18,6)")))
+    """TIMESTAMP_NTZ of epoch seconds in a time zone, whatever the session's. Times outside the years 1 to 9999 are moved by whole cycles of 400 years into 2000 to
+    2399: hour and weekday stay right."""
+    far = F.lit(_Y2000).cast("bigint") + F.pmod(ts - F.lit(_Y2000), F.lit(_CYCLE).cast("bigint"))
+    near = F.when((ts < _Y10000) & (ts > -62_135_596_800), ts).otherwise(far)
+    return F.convert_timezone(F.lit("UTC"), F.lit(timezone), F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), near.cast("decimal(18,6)")))
 
 
 def time_features(df: DataFrame, timezone: str = "Asia/Shanghai", ts: str = "ts") -> DataFrame:
