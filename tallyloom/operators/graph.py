@@ -24,10 +24,10 @@ def user_categories(log: DataFrame) -> DataFrame:
 
 
 def classes(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Membership (user_id, class_id) of buyers, and classes (class_id, categories, members). The id is the least user of the class."""
+    """Membership (user_id, class_id) of buyers, and classes (class_id, class_no, categories, members). The id is the least user of the class, the number a bigint."""
     sets = materialize(user_categories(log).groupBy("user_id").agg(F.sort_array(F.collect_set("category")).alias("categories")), "user-sets")
-    found = materialize(sets.groupBy("categories").agg(F.min("user_id").alias("class_id"), F.count(F.lit(1)).alias("members")), "classes")
-    return sets.join(found, "categories").select("user_id", "class_id"), found.select("class_id", "categories", "members")
+    found = materialize(sets.groupBy("categories").agg(F.min("user_id").alias("class_id"), F.count(F.lit(1)).alias("members")).withColumn("class_no", F.monotonically_increasing_id()), "classes")
+    return sets.join(found, "categories").select("user_id", "class_id"), found.select("class_id", "class_no", "categories", "members")
 
 
 def edges(class_table: DataFrame) -> DataFrame:
@@ -50,35 +50,39 @@ def with_unknown(ranked: DataFrame, vertex_table: DataFrame) -> DataFrame:
 
 
 def _arcs(class_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """src, dst and n: how many members of src a member of dst is linked with."""
-    size = class_table.select(F.col("class_id").alias("src"), F.col("members"))
+    """src, dst and n: how many members of src a member of dst is linked with. Ends are class numbers, as there are many arcs."""
+    number = lambda end: class_table.select(F.col("class_id").alias(end), F.col("class_no").alias(f"{end}_no"))
+    edge_table = edge_table.join(number("src"), "src").join(number("dst"), "dst").select(F.col("src_no").alias("src"), F.col("dst_no").alias("dst"))
+    size = class_table.select(F.col("class_no").alias("src"), F.col("members"))
     both = edge_table.select("src", "dst").unionByName(edge_table.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return both.join(size, "src").select("src", "dst", (F.col("members") - (F.col("src") == F.col("dst")).cast("int")).alias("n")).filter("n > 0")
 
 
 def degrees(class_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     """class_id and degree of its members; members without links are missing."""
-    return _arcs(class_table, edge_table).groupBy(F.col("dst").alias("class_id")).agg(F.sum("n").alias("degree"))
+    found = _arcs(class_table, edge_table).groupBy(F.col("dst").alias("class_no")).agg(F.sum("n").alias("degree"))
+    return found.join(class_table.select("class_id", "class_no"), "class_no").select("class_id", "degree")
 
 
 def pagerank(class_table: DataFrame, edge_table: DataFrame, all_users: int, rounds: int = 20, tolerance: float | None = None, reset: float = 0.15) -> DataFrame:
     """class_id and rank of its members: r = reset + (1 - reset) * sum of r(u) / degree(u) over neighbours u, from 1, for so many rounds or until no rank moves by
     tolerance; then scaled so that the ranks of all_users users add up to their number. Users without links have reset before scaling."""
-    arcs = materialize(_arcs(class_table, edge_table), "arcs")
-    degree = materialize(arcs.groupBy(F.col("dst").alias("class_id")).agg(F.sum("n").alias("degree")), "degrees")
-    ranks = degree.select("class_id", F.lit(1.0).alias("rank"), "degree")
-    for k in range(rounds):
-        given = ranks.select(F.col("class_id").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
-        new = arcs.join(given, "src").groupBy(F.col("dst").alias("class_id")).agg((F.lit(reset) + F.lit(1 - reset) * F.sum(F.col("share") * F.col("n"))).alias("rank"))
-        new = new.join(degree, "class_id")
-        if tolerance is not None or k % 5 == 4:
-            new = materialize(new, "ranks")  # the plan would grow with every round
+    # Arcs are partitioned by their end once, so a round moves ranks only: the sum per end needs no shuffle, and the ranks, a table of known size, are broadcast by the
+    # planner as long as they are small.
+    arcs = materialize(_arcs(class_table, edge_table), "arcs").repartition("dst").persist()
+    degree = materialize(arcs.groupBy(F.col("dst").alias("class_no")).agg(F.sum("n").alias("degree")), "degrees")
+    ranks = degree.select("class_no", F.lit(1.0).alias("rank"), "degree")
+    for _ in range(rounds):
+        given = ranks.select(F.col("class_no").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
+        new = arcs.join(given, "src").groupBy(F.col("dst").alias("class_no")).agg((F.lit(reset) + F.lit(1 - reset) * F.sum(F.col("share") * F.col("n"))).alias("rank"))
+        new = materialize(new.join(degree, "class_no"), "ranks")
+        old, ranks = ranks, new
         if tolerance is not None:
-            moved = new.join(ranks.select("class_id", F.col("rank").alias("old")), "class_id").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            moved = new.join(old.select("class_no", F.col("rank").alias("old")), "class_no").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
             if moved is None or moved < tolerance:
-                ranks = new
                 break
-        ranks = new
+    arcs.unpersist()
+    ranks = ranks.join(class_table.select("class_id", "class_no"), "class_no").select("class_id", "rank")
     members = class_table.select("class_id", "members")
     joined = members.join(ranks, "class_id", "left").withColumn("rank", F.coalesce("rank", F.lit(reset)))
     total = joined.agg((F.sum(F.col("rank") * F.col("members")) + F.lit(reset) * (F.lit(all_users) - F.sum("members"))).alias("total"))

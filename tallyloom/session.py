@@ -78,6 +78,12 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(type(df.schema)(fields)).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as there are cores at least, for work in Python that costs far more than the shuffle; unchanged if it has them already."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application; a local master needs nothing."""
     sc = spark.sparkContext

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.session import new_path
@@ -59,7 +60,7 @@ def drain(spark: SparkSession, df: DataFrame, mode: str, keys: list[str] | None
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    found = spark.read.schema(df.schema.add("_batch", "int")).option("recursiveFileLookup", True).parquet(out)
+    found = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])).option("recursiveFileLookup", True).parquet(out)
     if mode == "update" and keys:
         rest = [c for c in df.columns if c not in keys]
         found = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*keys, "_row.*")
