@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.textnorm import Words, near
-from tallyloom.session import ship_package
+from tallyloom.session import ship_package, spread
 
 #: Characters of items in one automaton; a larger set is worked off in several passes over the corpus.
 BLOCK_CHARS = 20_000_000
@@ -150,11 +150,12 @@ def leaked_passages(
     A passage has at least ``least`` words of the item in a row, of which one in ``per_edit`` may be changed, dropped or added. Layout, markup, case, width, accents,
     look-alike and broken letters, punctuation, spelling variants and slips of one letter don't count. Null and empty texts and items hold nothing; repeated
     documents and items each have their rows; no item or no document gives no rows. The items are the stated query set: they are read to the driver in blocks
-    of bounded size, and the corpus is scanned once for each block, without a shuffle.
+    of bounded size, and the corpus is scanned once for each block, without a shuffle unless it has fewer partitions than
+    there are cores.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    source = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("length(text) > 0")
+    source = spread(docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("length(text) > 0"), "doc_id")
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
     for i, t in items.select(F.col(f"`{item_id}`").cast("bigint"), F.col(f"`{item_text}`")).dropna().toLocalIterator():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import materialize, ship_package
+from tallyloom.session import materialize, ship_package, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _loaded: dict[str, object] = {}
@@ -48,7 +48,7 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tok
                 sizes += [len(e.ids) for e in t.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(count, f"doc_id {dict(docs.dtypes)[doc_id]}, n_tokens bigint")
+    return spread(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id").mapInArrow(count, f"doc_id {dict(docs.dtypes)[doc_id]}, n_tokens bigint")
 
 
 def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:

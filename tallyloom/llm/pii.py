@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.pii_crf import LABELS, SkipChain
 from tallyloom.llm.pii_tokens import FAMILY_ZH, tokens
-from tallyloom.session import ship_package
+from tallyloom.session import ship_package, spread
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Made texts the field is trained on.
@@ -139,14 +139,14 @@ def _scan(docs: DataFrame, doc_id: str, text: str, make, schema: pa.Schema, ddl:
                 rows = [row for d, t, spans in zip(ids[i : i + 500], part, finder.find(part)) for row in make(d, t, spans)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
-    return docs.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`")).mapInArrow(run, ddl)
+    return spread(docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id").mapInArrow(run, ddl)
 
 
 def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start_pos, end_pos, kind of each piece of personal information: email, phone, id_number, address or name.
 
     Positions count code points of the text as stored, from 0. Null and empty texts have none; rows with the same id each have their own; very long texts are
-    read whole. No shuffle; the field's weights, of fixed size, are broadcast.
+    read whole. No shuffle unless there are fewer partitions than cores; the field's weights, of fixed size, are broadcast.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("kind", pa.string())])
     return _scan(docs, doc_id, text, lambda d, t, spans: [(d, a, b, k) for a, b, k in spans], schema, "doc_id bigint, start_pos bigint, end_pos bigint, kind string")
