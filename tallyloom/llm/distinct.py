@@ -72,7 +72,7 @@ def estimate(partials: DataFrame, groups: list[str], bits: int, sigmas: float =
         partials.groupBy(*[f"`{g}`" for g in groups])
         .agg(F.sum(F.bit_count(WORD_BITS)).cast("bigint").alias("bits_set"))
         .withColumn("estimate", n)
-        .withColumn("error_bound", F.lit(sigmas) * F.sqrt(F.greatest(F.lit(0.0), F.lit(m) * (F.exp(t) - t - F.lit(1.0)))))
+        .withColumn("error_bound", F.when(F.col("estimate").isNotNull(), F.lit(sigmas) * F.sqrt(F.greatest(F.lit(0.0), F.lit(m) * (F.exp(t) - t - F.lit(1.0))))))
     )
 
 

@@ -8,6 +8,7 @@ A passage of 12 or more words with an edit in eight holds five unedited words in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -131,11 +132,11 @@ def _reach(item: list[str], doc: list[str], i: int, j: int, step: int, most: int
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("eval_id", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("words", pa.int32()), ("edits", pa.int32())])
-_made: dict[tuple, Passages] = {}
+#: The automaton of the block last used by this worker, under the name its scan was given.
+_made: dict[str, Passages] = {}
 
 
-def _passages(shared, options: tuple) -> Passages:
-    key = (id(shared), *options)
+def _passages(key: str, shared, options: tuple) -> Passages:
     if key not in _made:
         _made.clear()
         _made[key] = Passages(shared.value, *options)
@@ -166,10 +167,10 @@ def leaked_passages(
         size += len(t)
     out = None
     for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            passages = _passages(shared, (least, per_edit, seed))
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            passages = _passages(name, shared, (least, per_edit, seed))
             for batch in batches:
                 rows = [(d, *found) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for found in passages.find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _OUT)], schema=_OUT)

@@ -54,29 +54,27 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tok
 def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
     """Index of a size to its number in the configuration of the greatest total price, by dynamic programming over the capacity; at most most[i] of size i."""
     keep = np.flatnonzero((most > 0) & (prices > 0) & (sizes <= capacity))
-    # A size that costs no less room than another of a higher price is of no use while the other lasts.
     order = keep[np.lexsort((-prices[keep], sizes[keep]))]
     value = np.zeros(capacity + 1)
     steps: list[tuple[int, int, np.ndarray]] = []
-    dearest, room = 0.0, 0
+    kept_price, kept_room, m = np.empty(len(order)), np.empty(len(order)), 0
     for i in order:
-        if prices[i] <= dearest and room >= capacity:
+        s, p = int(sizes[i]), prices[i]
+        # If smaller sizes of no lower price fill what this one would leave, one of them is always free to take its place.
+        if m and kept_room[:m][kept_price[:m] >= p].sum() > capacity - s:
             continue
-        if prices[i] > dearest:
-            dearest, room = prices[i], 0
-        s = int(sizes[i])
         n = int(min(most[i], capacity // s))
-        room += n * s
+        kept_price[m], kept_room[m] = p, float(most[i]) * s
+        m += 1
         k = 1
         while n > 0:  # 1, 2, 4, ... of it at a time
             k = min(k, n)
             w = k * s
-            if w <= capacity:
-                with_it = value[: capacity + 1 - w] + k * prices[i]
-                better = with_it > value[w:] + 1e-12
-                if better.any():
-                    value[w:][better] = with_it[better]
-                    steps.append((int(i), k, better))
+            with_it = value[: capacity + 1 - w] + k * p
+            better = with_it > value[w:] + 1e-12
+            if better.any():
+                value[w:][better] = with_it[better]
+                steps.append((int(i), k, better))
             n -= k
             k *= 2
     at = int(np.argmax(value))

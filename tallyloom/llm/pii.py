@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,7 +52,7 @@ def spans_of(forms: list[str], classes: list[str], starts: list[int], ends: list
                     out.append((starts[t], ends[t], kind))
                 elif kind != "email" and classes[t] not in ("EMAIL", "PRICE") and _NUMBERS.match(classes[t]):
                     digits = sum(ch.isdigit() for ch in forms[t])
-                    if 6 <= digits <= 18:
+                    if 6 <= digits <= 18 or classes[t] == "CARD":
                         out.append((starts[t], ends[t], kind))
         else:
             a, b = i, j
@@ -115,23 +116,23 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-_finders: dict[int, Finder] = {}
+_finders: dict[str, Finder] = {}
 
 
-def _finder(shared) -> Finder:
-    if id(shared) not in _finders:
+def _finder(name: str, shared) -> Finder:
+    if name not in _finders:
         _finders.clear()
-        _finders[id(shared)] = Finder(shared.value)
-    return _finders[id(shared)]
+        _finders[name] = Finder(shared.value)
+    return _finders[name]
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str, make, schema: pa.Schema, ddl: str) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(trained())
+    shared, name = spark.sparkContext.broadcast(trained()), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(shared)
+        finder = _finder(name, shared)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(0, len(ids), 500):

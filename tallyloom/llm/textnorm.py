@@ -22,7 +22,7 @@ _MARK = "̀-ͯ"
 #: a line, which are layout and skipped.
 WORD = re.compile(
     rf"(?m:^)[^\W\d_]{{2,12}}[:：](?=\s)|<[/!]?[A-Za-z][^<>\n]{{0,200}}>|&(?:#\d{{1,7}}|#x[0-9A-Fa-f]{{1,6}}|[A-Za-z]{{2,12}});"
-    rf"|(?:[^\W_]|[ÂÃ][\u0080-¿]|[{_MARK}])(?:[^\W_]|[{_MARK}{INVISIBLE}]|[ÂÃ][\u0080-¿]|['’](?=[^\W\d_])|-[ \t]*\r?\n[ \t>*]*(?=[^\W\d_A-Z]))*"
+    rf"|(?:[ÂÃ][\u0080-\u00bf]|[^\W_]|[{_MARK}])(?:[ÂÃ][\u0080-\u00bf]|[^\W_]|[{_MARK}{INVISIBLE}]|['’](?=[^\W\d_])|-[ \t]*\r?\n[ \t>*]*(?=[^\W\d_A-Z]))*"
 )
 _DROP = re.compile(rf"[{_MARK}{INVISIBLE}'’\s>*-]+")
 
