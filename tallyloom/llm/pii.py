@@ -61,6 +61,9 @@ def spans_of(forms: list[str], classes: list[str], starts: list[int], ends: list
                 a += 1
             while b > a and edge(b - 1):
                 b -= 1
+            # A given name that the field was unsure of before an initial it was sure of.
+            if kind == "name" and 0 < a < b and classes[a] == "INITIAL" and classes[a - 1] in ("TITLE", "UPPER") and starts[a] - ends[a - 1] == 1 and belief[a - 1, 5] > 0.05:
+                a -= 1
             if a < b and (_is_name(forms, classes, a, b) if kind == "name" else _is_address(classes[a:b])):
                 out.append((starts[a], ends[b - 1], kind))
         i = j
