@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.operators import clean, graph, propensity, reports, tuning
 from tallyloom.operators.valid import valid_log
 from tallyloom.schema import Config
-from tallyloom.session import build_session, stop_session
+from tallyloom.session import build_session, release_tables, stop_session
 from tallyloom.sinks.tables import attempt, write_csv, write_lines, write_parquet
 from tallyloom.sources.behavior import ensure_data, generate, read_csv, read_lines, stream_source
 from tallyloom.streaming.windows import run_for, sliding_windows, start_console
@@ -91,6 +91,7 @@ def main(args: list[str] | None = None) -> int:
                 ensure_data(spark, a.path)
             run(spark, a.mode, a.path, a.extra, config)
     finally:
+        release_tables(spark)
         stop_session()
     return 0
 

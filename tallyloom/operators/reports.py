@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import squeeze_space, strip_space
 from tallyloom.functions.time import DAY_S, day_number, day_text
 
 
@@ -168,3 +169,32 @@ def bar_widths(log: DataFrame) -> DataFrame:
     c = category_counts(log)
     top = F.max("cnt").over(Window.partitionBy(F.lit(0)))
     return c.select("category", "cnt", F.greatest(F.lit(16), F.call_function("div", F.col("cnt") * 200 + top, top * 2).cast("int")).alias("width"))
+
+
+#: Other spellings of alert levels.
+_LEVELS = {"warn": "warning", "crit": "critical", "information": "info"}
+
+
+def clean_alerts(alerts: DataFrame) -> DataFrame:
+    """Distinct alerts in normal form: level and category in lower case without extra white space, warn as warning, NaN as null, and times of any of the notations
+    ``Y-m-d H:M[:S]``, ``Y/m/d H:M:S`` and ``Y-m-dTH:M:SZ`` as ``Y-m-d H:M:S``; a time in none of them becomes null. Nulls stay null."""
+    level = F.lower(strip_space(F.col("alert_level")))
+    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _LEVELS.items() for x in kv]), level), level)
+    number = lambda c: F.when(~F.isnan(c), F.col(c))
+    t = strip_space(F.regexp_replace(F.translate("alert_time", "/T", "- "), "Z", ""))
+    t = F.when(F.length(t) == 16, F.concat(t, F.lit(":00"))).otherwise(t)
+    return alerts.select(
+        F.lower(strip_space(F.col("alert_type"))).alias("alert_type"),
+        level.alias("alert_level"),
+        F.lower(squeeze_space(F.col("category"))).alias("category"),
+        F.lower(strip_space(F.col("metric_name"))).alias("metric_name"),
+        number("metric_value").alias("metric_value"),
+        number("threshold").alias("threshold"),
+        F.when(t.rlike(r"\A\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z"), t).alias("alert_time"),
+        "description",
+    ).distinct()
+
+
+def latest_alerts(alerts: DataFrame, n: int = 8) -> DataFrame:
+    """The n latest alerts; further columns break ties."""
+    return clean_alerts(alerts).orderBy(*[F.desc_nulls_last(c) for c in ("alert_time", "alert_type", "category", "metric_name", "metric_value", "alert_level", "threshold", "description")]).limit(n)

@@ -267,6 +267,24 @@ def site_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.site_summary(valid(spark, sf_dir))
 
 
+_WS_ENDS = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_ALERT_TIME = "trim(replace(replace(replace(alert_time, '/', '-'), 'T', ' '), 'Z', ''))"
+_ALERTS = f"""SELECT DISTINCT lower({_WS_ENDS.format('alert_type')}) AS alert_type, CASE lower({_WS_ENDS.format('alert_level')}) WHEN 'warn' THEN 'warning' ELSE lower({_WS_ENDS.format('alert_level')}) END AS alert_level,
+ lower(regexp_replace({_WS_ENDS.format('category')}, '\\s+', ' ', 'g')) AS category, lower({_WS_ENDS.format('metric_name')}) AS metric_name, CASE WHEN NOT isnan(metric_value) THEN metric_value END AS metric_value,
+ CASE WHEN NOT isnan(threshold) THEN threshold END AS threshold, CASE WHEN length({_ALERT_TIME}) = 16 THEN {_ALERT_TIME} || ':00' ELSE {_ALERT_TIME} END AS alert_time, description FROM alert_log"""
+
+
+@_register(_ALERTS)
+def alert_log_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct alerts of the log in normal form."""
+    return reports.clean_alerts(table(spark, sf_dir, "alert_log"))
+
+
+@_register(f"SELECT * FROM ({_ALERTS}) ORDER BY {', '.join(c + ' DESC NULLS LAST' for c in ('alert_time', 'alert_type', 'category', 'metric_name', 'metric_value', 'alert_level', 'threshold', 'description'))} LIMIT 8")
+def latest_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.latest_alerts(table(spark, sf_dir, "alert_log"))
+
+
 # Streaming
 
 _SLIDING = f"""WITH {VALID}, w AS (SELECT (ts - ts % 30) - 30 * k AS s, behavior, user_id FROM valid, range(2) AS r(k)),

@@ -16,6 +16,8 @@ from tallyloom.schema import Config
 
 log = logging.getLogger(__name__)
 _local_dir: dict[str, str] = {}
+#: Folder of this process among those that share the work folder.
+_run = uuid.uuid4().hex
 
 
 def build_session(config: Config | None = None, hive: bool = False, **conf: str) -> SparkSession:
@@ -63,7 +65,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tallyloom/{_run}/{name}-{uuid.uuid4().hex}"
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Deletes the tables that queries of this application left in the shared folder. Frames that still read them must not be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyloom/{_run}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
