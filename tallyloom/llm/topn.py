@@ -16,15 +16,15 @@ from tallyloom.session import materialize
 def top_n(scores: DataFrame, groups: list[str], item: str, score: str, n: int) -> DataFrame:
     """groups, item, score and rank of the up to n items with the highest score in each group; equal scores are ordered by item ascending.
 
-    scores: one row per group and item; of repeated rows of an item each counts. Rows with a null group column, item or score are left out; scores below 1 share
-    the lowest band; an empty table or n = 0 gives no rows. Columns of other names are ignored.
+    scores: one row per group and item; of repeated rows of an item each counts. Rows with a null group column, item or score, or with NaN, are left out; scores
+    below 1 share the lowest band, infinite ones the highest; an empty table or n = 0 gives no rows. Columns of other names are ignored.
     """
     if n < 0:
         raise ValueError("n must not be negative")
     names = {g: f"_g{i}" for i, g in enumerate(groups)}
     keys = list(names.values())
     s = F.col(f"`{score}`")
-    band = F.when(s < 1, F.lit(-1)).otherwise(F.floor(F.log2(s.cast("double")))).cast("int")
+    band = F.when(s < 1, F.lit(-1)).otherwise(F.least(F.lit(1100), F.floor(F.log2(s.cast("double"))))).cast("int")
     flat = scores.select(*[F.col(f"`{g}`").alias(k) for g, k in names.items()], F.col(f"`{item}`").alias("_item"), s.alias("_score"), band.alias("_band")).dropna()
     stored = materialize(flat, "bands", ("_band",))
     bands = sorted((r[0] for r in stored.select("_band").distinct().collect()), reverse=True)

@@ -28,5 +28,7 @@ def test_edges(spark):
     assert top_n(frame(spark, []), ["g"], "item", "score", 5).count() == 0
     with pytest.raises(ValueError):
         top_n(frame(spark, []), ["g"], "item", "score", -1)
+    odd = spark.createDataFrame([("g", "a", float("nan")), ("g", "b", float("inf")), ("g", "c", float("-inf")), ("g", "d", 0.25), ("g", "e", 0.5)], "g string, item string, score double")
+    assert [r["item"] for r in top_n(odd, ["g"], "item", "score", 3).orderBy("rank").collect()] == ["b", "e", "d"]
     twice = top_n(frame(spark, [("g", 1, "a", 3), ("g", 1, "a", 3), ("g", 1, "b", 1)]), ["g"], "item", "score", 2)
     assert [tuple(x) for x in twice.orderBy("rank").collect()] == [("g", "a", 3, 1), ("g", "a", 3, 2)]
