@@ -48,7 +48,7 @@ def event_types(rows: DataFrame, most: int = 20_000) -> list[str]:
     return sorted(found)
 
 
-def feature_table(log: DataFrame, block_size: int = 30, as_of: int | None = None, types: list[str] | None = None, unique_by: list[str] | None = None) -> DataFrame:
+def feature_table(log: DataFrame, block_size: int = 100, as_of: int | None = None, types: list[str] | None = None, unique_by: list[str] | None = None) -> DataFrame:
     """One row per entity: user_id and, for each type t, ``t_n`` (actions, 0 if none), ``t_days`` (active days, 0 if none) and ``t_since_s`` (seconds from the last
     action to as_of, null if none).
 
