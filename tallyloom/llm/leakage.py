@@ -75,6 +75,8 @@ class Passages:
         best = None
         left = set(seeds)
         for p, d in sorted(seeds):
+            if best and best[2] == len(item):
+                break  # nothing longer can come
             if (p, d) not in left:
                 continue
             n = self.seed

@@ -73,3 +73,12 @@ def test_operator(spark):
         assert sorted((x["doc_id"], x["eval_id"]) for x in leaked_passages(d, i).collect()) == found
     finally:
         leakage.BLOCK_CHARS = kept
+
+
+def test_many_copies_in_one_text():
+    import time
+
+    text = item(random.Random(9), 60)
+    began = time.perf_counter()
+    found = Passages([(1, text)]).find((text + " and again ") * 3000)
+    assert found[0][:2] == (1, 0) and found[0][3:] == (60, 0) and time.perf_counter() - began < 20
