@@ -41,8 +41,11 @@ def is_valid() -> Column:
 
 
 def valid_rows(log: DataFrame) -> DataFrame:
-    """Valid rows in normal form, repeated ones kept."""
-    return normal_log(log).filter(is_valid())
+    """Valid rows in normal form, repeated ones kept. What can be told from the stored values is asked of them too, so that the scan skips such rows and row groups."""
+    stored = F.col("timestamp") > 0
+    for c in ("userId", "itemId", "category", "behavior"):
+        stored = stored & F.col(f"`{c}`").isNotNull()
+    return normal_log(log.filter(stored)).filter(is_valid())
 
 
 def valid_log(log: DataFrame) -> DataFrame:
