@@ -138,9 +138,9 @@ def _scan(docs: DataFrame, doc_id: str, text: str, make, schema: pa.Schema, ddl:
         finder = _finder(name, shared)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(ids), 500):
-                part = texts[i : i + 500]
-                rows = [row for d, t, spans in zip(ids[i : i + 500], part, finder.find(part)) for row in make(d, t, spans)]
+            for i in range(0, len(ids), 2000):
+                part = texts[i : i + 2000]
+                rows = [row for d, t, spans in zip(ids[i : i + 2000], part, finder.find(part)) for row in make(d, t, spans)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
     return spread(docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id").mapInArrow(run, ddl)

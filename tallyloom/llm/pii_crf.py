@@ -54,18 +54,25 @@ class Vocabulary:
 _SPELT = {"LOWER", "TITLE", "UPPER", "STREET", "STREETES", "STREETDE", "INITIAL", "LETTER", "ZH", "ZHFAM", "ZHEND", "ZHUNIT", "BATCH", "STAMP", "ZHNOT"}
 
 
-def feature_ids(words: np.ndarray, classes: np.ndarray, parts: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Feature numbers (n, f) of a padded sequence of type numbers."""
-    n = len(at)
-    pad = np.zeros(4, np.int64)
-    x = np.concatenate([pad, at, pad])
-    w, c, p = words[x], classes[x], parts[x]
+def _number(h: np.ndarray) -> np.ndarray:
+    """Feature numbers of hashes."""
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(32)) & np.uint64(SIZE - 1)).astype(np.int64)
+
+
+def own_ids(parts: np.ndarray, offset: int) -> np.ndarray:
+    """Feature numbers of single tokens, as seen from ``offset`` places away: one row per type."""
+    salt = np.uint64((offset + 5) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return np.stack([_number(parts[:, j] * np.uint64(2 * j + 3) + salt) for j in (range(4) if abs(offset) <= 1 else (0, 3))], 1)
+
+
+def joint_ids(words: np.ndarray, classes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Feature numbers of several tokens together, for a sequence of type numbers with four paddings at either end."""
+    n = len(x) - 8
+    w, c = words[x], classes[x]
     cut = lambda a, o: a[4 + o : 4 + o + n]
     cols = []
-    for o in OFFSETS:
-        salt = np.uint64((o + 5) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        own = cut(p, o)
-        cols += [own[:, j] * np.uint64(2 * j + 3) + salt for j in (range(4) if abs(o) <= 1 else (0, 3))]
     for k, places in enumerate(CLASS_SETS):
         h = np.full(n, k + 101, np.uint64)
         for o in places:
@@ -74,10 +81,10 @@ def feature_ids(words: np.ndarray, classes: np.ndarray, parts: np.ndarray, at: n
     own = cut(c, 0)
     for o in WORD_CLASS:
         cols.append(((np.uint64(o + 211) ^ cut(w, o)) * np.uint64(0x100000001B3) ^ own) * np.uint64(0x9E3779B97F4A7C15))
-    h = np.stack(cols, 1)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(32)) & np.uint64(SIZE - 1)).astype(np.int64)
+    return _number(np.stack(cols, 1))
+
+
+_PAD = np.zeros(4, np.int64)
 
 
 class SkipChain:
@@ -89,20 +96,44 @@ class SkipChain:
         self.skip = skip
         self.vocabulary = Vocabulary()
         self._arrays: tuple | None = None
+        self._own: list[np.ndarray] | None = None
+        self._fitted = True
 
     def state(self) -> tuple[np.ndarray, np.ndarray, float]:
         return self.weights, self.transitions, self.skip
 
-    def features(self, at: np.ndarray) -> np.ndarray:
+    def _types(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = self.vocabulary
         if self._arrays is None or len(self._arrays[0]) < len(v.words):
             self._arrays = (np.array(v.words, np.uint64), np.array(v.classes, np.uint64), np.array(v.parts, np.uint64))
-        return feature_ids(*self._arrays, at)
+        return self._arrays
+
+    def features(self, at: np.ndarray) -> np.ndarray:
+        """All feature numbers (n, f) of a sequence of type numbers."""
+        words, classes, parts = self._types()
+        x = np.concatenate([_PAD, at, _PAD])
+        n = len(at)
+        own = [own_ids(parts[x[4 + o : 4 + o + n]], o) for o in OFFSETS]
+        return np.concatenate([*own, joint_ids(words, classes, x)], 1)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Summed weights (n, K) of a padded sequence. What single tokens add is kept by type, as types recur."""
+        words, classes, parts = self._types()
+        if self._own is None or len(self._own[0]) < len(words):
+            have = 0 if self._own is None else len(self._own[0])
+            new = [self.weights[own_ids(parts[have:], o)].sum(1) for o in OFFSETS]
+            self._own = new if self._own is None else [np.concatenate(p) for p in zip(self._own, new)]
+        n = len(x) - 8
+        e = self.weights[joint_ids(words, classes, x)].sum(1)
+        for o, table in zip(OFFSETS, self._own):
+            e += table[x[4 + o : 4 + o + n]]
+        return e
 
     # Training
 
     def fit(self, sequences: list[tuple[list[str], list[str], list[int]]], epochs: int = 6, batch: int = 48, rate: float = 0.25, decay: float = 1e-6, seed: int = 7) -> None:
         """sequences: forms, classes and label numbers of each."""
+        self._fitted = True
         data = [(self.vocabulary.sequence(f, c), np.array(y, np.int64)) for f, c, y in sequences if f]
         rng = np.random.default_rng(seed)
         grad2_w = np.full((SIZE, K), 1e-2, np.float32)
@@ -157,17 +188,17 @@ class SkipChain:
         """Label probabilities (n, K) of the tokens of each document."""
         skip = self.skip if skip is None else skip
         v = self.vocabulary
-        if len(v.words) > 300_000:
-            self.vocabulary, self._arrays = Vocabulary(), None
+        if len(v.words) > 150_000 or self._fitted:  # weights may have changed, and memory has an end
+            self.vocabulary, self._arrays, self._own, self._fitted = Vocabulary(), None, None, False
             v = self.vocabulary
         at = [v.sequence(f, c) for f, c in documents]
         out: list[np.ndarray | None] = [None] * len(documents)
         order = sorted(range(len(documents)), key=lambda i: len(at[i]))
         start = 0
         while start < len(order):
-            # As many documents as stay near 60,000 padded tokens; a single long one goes alone.
+            # As many documents as stay near 200,000 padded tokens; a single long one goes alone.
             end = start + 1
-            while end < len(order) and (end + 1 - start) * len(at[order[end]]) <= 60_000:
+            while end < len(order) and (end + 1 - start) * len(at[order[end]]) <= 200_000:
                 end += 1
             group = order[start:end]
             start = end
@@ -180,21 +211,26 @@ class SkipChain:
             e = np.zeros((len(group), top, K))
             mask = np.zeros((len(group), top), bool)
             for r, i in enumerate(group):
-                for a in range(0, lengths[r], 20_000):  # features of very long texts in slices
-                    lo, hi = max(0, a - 4), min(lengths[r], a + 20_004)
-                    f = self.features(at[i][lo:hi])[a - lo : a - lo + 20_000]
-                    e[r, a : a + len(f)] = self.weights[f].sum(1)
+                x = np.concatenate([_PAD, at[i], _PAD])
+                for a in range(0, lengths[r], 20_000):  # very long texts in slices, to bound memory
+                    part = self.scores(x[a : a + 20_008])
+                    e[r, a : a + len(part)] = part
                 mask[r, : lengths[r]] = True
             left, right = _skip_edges([documents[i] for i in group])
-            base = e
-            belief, _ = _chain(base, mask, self.transitions.astype(float))
+            belief, _ = _chain(e, mask, self.transitions.astype(float))
+            if len(left) and skip > 0:
+                # An edge between two tokens that surely have no label changes nothing.
+                live = np.minimum(belief[left[:, 0], left[:, 1], 0], belief[right[:, 0], right[:, 1], 0]) < 0.999
+                left, right = left[live], right[live]
             if len(left) and skip > 0:
+                rows, at_row = np.unique(left[:, 0], return_inverse=True)
+                top = int(mask[rows].sum(1).max())
+                base, part, sub = e[rows, :top], mask[rows, :top], belief[rows, :top]
+                lr, lc, rr, rc = at_row.ravel(), left[:, 1], at_row.ravel(), right[:, 1]
                 to_left = np.zeros((len(left), K))
                 to_right = np.zeros((len(left), K))
-                lr, lc = left[:, 0], left[:, 1]
-                rr, rc = right[:, 0], right[:, 1]
                 for _ in range(rounds):
-                    lb = np.log(belief + 1e-30)
+                    lb = np.log(sub + 1e-30)
                     cavity_l = lb[lr, lc] - to_left
                     cavity_r = lb[rr, rc] - to_right
                     to_right = 0.5 * to_right + 0.5 * _message(cavity_l, skip)
@@ -202,7 +238,8 @@ class SkipChain:
                     now = base.copy()
                     np.add.at(now, (lr, lc), to_left)
                     np.add.at(now, (rr, rc), to_right)
-                    belief, _ = _chain(now, mask, self.transitions.astype(float))
+                    sub, _ = _chain(now, part, self.transitions.astype(float))
+                belief[rows, :top] = sub
             for r, i in enumerate(group):
                 out[i] = belief[r, : lengths[r]]
         return out

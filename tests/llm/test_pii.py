@@ -48,6 +48,17 @@ def test_repeated_tokens_share_labels():
     assert linked[3, 5] > alone[3, 5] + 0.1 and linked[0, 5] > 0.9
 
 
+def test_kept_scores_equal_summed_features():
+    r = np.random.default_rng(1)
+    model = SkipChain(weights=r.normal(size=(1 << 16, K)).astype(np.float32))
+    m = Maker(4)
+    for _ in range(5):
+        f, c, _ = labelled(*m.document())
+        at = model.vocabulary.sequence(f, c)
+        x = np.concatenate([np.zeros(4, np.int64), at, np.zeros(4, np.int64)])
+        assert np.allclose(model.scores(x), model.weights[model.features(at)].sum(1), atol=1e-3)
+
+
 def test_held_out_accuracy():
     model = train(1200, seed=5)
     m = Maker(77)
