@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from tallyloom.operators import clean
 from tallyloom.sources import behavior as sources

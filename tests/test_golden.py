@@ -1,7 +1,7 @@
 """Reports over the log that the generator's specification gives for seed 42, against numbers worked out independently."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tallyloom.operators import clean, graph, propensity, reports
 from tallyloom.schema import GENERATOR_BEHAVIORS, GENERATOR_CATEGORIES

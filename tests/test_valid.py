@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from tallyloom.operators.valid import normal_log, valid_log, valid_rows
 
