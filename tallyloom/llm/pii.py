@@ -64,23 +64,27 @@ def spans_of(forms: list[str], classes: list[str], starts: list[int], ends: list
             # A given name that the field was unsure of before an initial it was sure of.
             if kind == "name" and 0 < a < b and classes[a] == "INITIAL" and classes[a - 1] in ("TITLE", "UPPER") and starts[a] - ends[a - 1] == 1 and belief[a - 1, 5] > 0.05:
                 a -= 1
-            if a < b and (_is_name(forms, classes, a, b) if kind == "name" else _is_address(classes[a:b])):
+            if a < b and (_is_name(forms, classes, a, b, belief[:, k]) if kind == "name" else _is_address(classes[a:b])):
                 out.append((starts[a], ends[b - 1], kind))
         i = j
     return out
 
 
+#: Belief from which words in small letters are a name without a cue.
+SURE = 0.6
 #: Particles of family names.
 _PARTICLES = set("van von vom zu der den de del della di da la las los le y e".split())
 
 
-def _is_name(forms: list[str], classes: list[str], a: int, b: int) -> bool:
+def _is_name(forms: list[str], classes: list[str], a: int, b: int, belief) -> bool:
     """A given name or an initial, and a family name: two capitalised words, one of them longer than an initial; two to four Chinese characters that begin with a family name; or
-    words in small letters only, beside a sign or word that announces a name."""
+    words some or all of which are in small letters, where the field believes of each that it is of a name: SURE at least, or likelier than any other label if all are small and
+    a sign or word beside them announces a name."""
     span = forms[a:b]
     if all(len(f) == 1 and "㐀" <= f <= "鿿" for f in span):
         return 2 <= len(span) <= 4 and span[0] in FAMILY_ZH
-    words = [f for f in span if f[0].isalpha() and f.lower() not in _PARTICLES]
+    at = [t for t in range(a, b) if forms[t][0].isalpha() and forms[t].lower() not in _PARTICLES]
+    words = [forms[t] for t in at]
     if not 2 <= len(words) <= 6 or any(f[0].isdigit() for f in span) or not any(len(w.rstrip(".")) > 1 for w in words):
         return False
     small = sum(w[0].islower() for w in words)
@@ -89,7 +93,7 @@ def _is_name(forms: list[str], classes: list[str], a: int, b: int) -> bool:
     before, after = range(max(0, a - 3), a), classes[b : b + 1]
     # ``de`` and ``von`` announce a sender only before a colon.
     announced = any(classes[t] in ("=", "|", '"') or (classes[t].startswith("C_WHO") and (forms[t].lower() not in _PARTICLES or classes[t + 1] == ":")) for t in before)
-    return small == len(words) and (announced or after in (["<"], ["("], ["|"]))
+    return min(belief[t] for t in at) >= SURE or small == len(words) and (announced or after in (["<"], ["("], ["|"]))
 
 
 def _is_address(classes: list[str]) -> bool:

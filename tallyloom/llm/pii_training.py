@@ -9,7 +9,7 @@ from tallyloom.llm.pii_crf import LABELS, SkipChain
 from tallyloom.llm.pii_tokens import tokens
 
 #: Training material. Slots: {N} name, {P} phone, {E} email, {I} identity number, {A} address; {g} given name or {s} surname that is no person, {c} code,
-#: {n} number, {m} price, {w} word, {W} capitalised word, {t} town, {b} batch number, {h} handle, {d} long number.
+#: {n} number, {m} price, {w} word, {W} capitalised word, {t} town, {b} batch number, {h} handle, {d} long number, {x} model code.
 EN = """My name is {N} and I ordered {w}.|My name is {N}.|I spoke with {N} about the {w}.|{N} never received the {w}.|{N}'s {w} was {w}.|Both {N} and my {w} signed.|The {w} was accepted by {N}, not by me.
 Please ask for Mr. {N} at the {w}.|Please ask for Mrs. {N} at the {w}.|Ask for Ms {N}.|Dear {N},|Dear {N}, we called {P} and wrote to {E}.|Signed: {N}|Signed: {N} {W} {w} {w}.|Regards, {N}.|Regards, {N}|Best regards, {N}.|Regards,\n{N}\n{A}\nTel. {P}|cc {N} ({w})|cc {N} ({w}) {W} {w}.
 From: {N} <{E}>|From: {N} <{E}>\nSubject: {w}|recipient={N}; status={w}|{"recipient": "{N}", "phone": "{P}", "address": "{A}"}|{N} ({E}, {P}) will pick it up.|Bill to {N}, {A}; id {I}.|Bill to {N}, {A}.|{n} {w} {N} | {E} | {P} | {W}|{| }{N} | {E} | {P} |
@@ -21,6 +21,16 @@ The {g} {w} and the {g} {w} sell well together.|The {g} {w} sells well.|Our {g}
 DE = """Mein Name ist {N}.|Hallo {N}, wir haben unter {P} angerufen.|Hallo {N}, {w}.|{N} hat das Paket nie bekommen.|{N} hat unterschrieben.|Bitte an Frau {N} weiterleiten.|Bitte an Herrn {N} weiterleiten.|Viele Grüße, {N}|Viele Grüße, {N} {W} {w} {w}.|Mit freundlichem Gruß\n{N}\n{A}\nTel. {P}|Empfänger: {N}|Empfänger: {N} {W} {w}.|Von: {N} <{E}>|{N}, {A}, Ausweis {I}.|{N}, {A}.|Ich bin unter {E} erreichbar.|{E} ist meine Anmeldung.|Bitte an {E} schreiben.|Unter {P} ist niemand da.|Unter {P} erreicht man {w}.|Rufen Sie {P} an.|Meine Nummer: {P}|Meine Nummer: {P}. {W} {w}.|Ausweis: {I}|Ausweis: {I} {W} {w} {w}.|Ausweisnummer {I}.|Mein Personalausweis hat die Nummer {I}.|Meine Steuer-ID ist {I}.|Bitte liefern an {A}.|Bitte liefern an {A}. {W} {w}.|Ich wohne in der Nähe: {A}.|Anschrift: {A}|Anschrift: {A} {W} {w} {w}.|Das Paket ging an {A}.|Die Lampe {g} und die {W} {w} {w}.|Die Serie {g} {w}.|Das Modell {g} {W} hat {n} Teile.|Charge {b} wurde zurückgerufen.|Sendung {d} ist unterwegs.|Siehe EAN {e} und {c}.|Siehe SKU {k} und {c}.|Siehe {n} x {n} x {n} mm und {c}.|Siehe @{h} und {c}.|Siehe {v} und {c}.|Die {W} kostet {m}, vorher {m}.|Die {W} kam {w} {W} und war {w}.|Artikel {i} hat {n} Klicks, aber {n} Käufe.|Bestellung {c} nennt eine {W} für {m} Euro.|Die {W} stiegen um {n} Prozent.|Ich habe sie {w}, weil die {w} {w} war.|Wie immer, die {W} ist {w}.|Ehrlich gesagt, die {W} wirkt {w}.|Am {W} wurden in {t} {n} {W} {w}, dazu {n} {W} vom {w} {W}.|Danach blieben {n} {W} in {t}, {w} der {W} {w}, und {n} wurden {w}.|Im Lager von {t} hat ein {w} {W} {n} {W} und {n} {W} bis {W} {w}.|Beratung: Die {W} ist {w}.|Kunde: Es geht so, die {W} wirkt {w}.|Betreff: {W} {w}|Wochenbericht EAN {e}|Wenn {n} Kisten und {n} Münzen bleiben, {w}?|Nochmal würde ich es nicht nehmen.|Die Serie {W}straße umfasst {n} Teile.|Folgt @{h}.|Später hat der {W} aus {t} {n} {W} {w}, falls der {W} {w}.|Mit freundlichen Grüßen, {N}|Frau {N} war nicht da.|Kontakt: {N}, {P}"""
 ES = """Me llamo {N}.|Me llamo {N} y {w}.|Hola {N}, llamamos al {P}.|{N} nunca recibió el {w}.|Firmado: {N}|Un saludo,\n{N}\n{A}\nTel. {P}|Destinatario: {N}|De: {N} <{E}>|{N}, DNI {I}, {A}.|Firmó {N}, no yo.|Pregunten por la señora {N}.|Hablé con {N} sobre el {w}.|Correo: {E}|Correo: {E} {W} {w}.|Mi cuenta es {E}.|Escriban a {E}, {w}.|Llamen al {P}.|Mi número es {P}.|Nadie contesta en {P}.|Tel.: {P}|Mi DNI es {I}.|DNI: {I}|DNI: {I} {W} {w}.|Mi identidad {I}.|Documento de identidad {I}.|Dirección: {A}|Dirección: {A} {W} {w} {w}.|Vivo en {A}, al lado del {w}.|El paquete fue a {A}.|Envíenlo a {A}.|La colección {S} tiene {n} piezas.|La lámpara {g} y la mesa {g} {w}.|Lote {b} retirado.|Envío {d} en camino.|Sigan a @{h}.|Véase EAN {e} y {c}.|Véase SKU {k} y {c}.|Véase {v} y {c}.|Véase parcel {q} y {c}.|La {w} cuesta {m}, antes {m}.|El artículo {i} tiene {n} clics.|El pedido {c} incluye una {w} por {m} euros.|Este mes las {w} subieron un {n} por ciento.|Por ahora, la {w} es {w}.|Al final la {w}, {w} la {w}.|En {t} un {w} {w} contó {n} {w} y {n} {w} antes del {w}.|Luego {n} {w} quedaron en {t}, {w}, y el {w} envió {n}.|El {w} en {t} se vieron {n} {w}, {n} {w} y un {w} {w}.|Con {n} cajones y {n} monedas, {w}?|Agente: Sinceramente, la {w} es {w}.|Cliente: La {w} llegó {w}.|Asunto: {w} {w}|Informe SKU {k}|Ni bien ni mal.|Saludos, {N}|Saludos, {N} {W} {w} {w}.|Atentamente, {N}.|Un abrazo, {N}.|{n} robots de {w} y {n} {w} de {w}.|En {t} un {w} {w} contó {n} silbatos de {w} y {n} teteras de {w} antes del {w}.|El {W} en {t} se vieron {n} {w} de {w}, {n} {w} y un {w} {w} que {w} el resto.|Si se pierde el {n} por ciento de {w} de {w} el {w}, {w}?|Más tarde el {w} de {t} {w} {n} {w}, si falla la {w}.|La {w} de {w} parece más {w} de lo {w}.|La {w} de {w} es {w}.|La {w} de {w} llegó {w} y estaba {w}.|Por ahora, la {w} de {w} {w} {w}."""
 ZH = """我叫{N}，下过两次单。|收件人：{N}。|收件人：{N}，电话：{P}，地址：{A}。|收件人：{N}|姓名：{N}\n证件：{I}|签收人是{N}，不是我。|{N}一直没有收到包裹。|{N}（{P}）会来取。|联系人：{N}，{P}|请找{N}女士。|{N}先生说很好。|请打{P}。|拨{P}没人接。|我的号码是{P}，晚上在。|电话：{P}|手机：{P}|邮箱：{E}|请发邮件到{E}。|注册用的是{E}，谢谢。|我的账号是{E}。|身份证号{I}。|证件：{I}|证件：{I}。|实名认证填的是{I}。|请寄到{A}。|包裹送去了{A}。|我住在{A}，靠近河边。|地址：{A}。|地址：{A}|批号{b}已召回。|运单{d}已发出。|请关注@{h}。|参见EAN {e}与{c}。|参见SKU {k}与{c}。|参见{v}与{c}。|参见{n} x {n} x {n} mm与{c}。|商品{i}有{n}次点击，{n}次收藏。|订单{c}里有一件耳机，价格{m}元。|挂钟现价{m}，原价{m}。|本周浏览量上升百分之{n}。|总之，这款背包很结实。|耳机当天晚上送到，落了灰。|顾客：目前来看，购买数回升，一般般。|客服：没看尺码表，我申请了退货。|大家都一次买了两件，孩子很喜欢。|顺便说一句，浏览量下降，有些失望。|周报 EAN {e}|# 加购数下降|桑叶茶和白桃酒一起卖得好。|照例，收藏数翻倍，总体满意。|主题：登山鞋完美无缺|烤盘周一就到了，做工不错。|温水瓶和金边碗很好看。|这款{z}做工不错。|{z}当天晚上送到，比想象的短。|总之，这款{z}声音大。|{z}现价{m}，原价{m}。|{z}周末才收到，弯了。|订单{c}里有一件{z}，价格{m}元。|主题：{z}比旧款重|# {z}|{z} {m}元|{r}系列有{n}款。|{r}茶是我们的新品。|喜欢{z}，不会再买{z}。|大家都一次买了两件{z}，算是惊喜。"""
+#: Sentences in which small letters mislead: names at places where nothing announces them, and words at such places.
+SMALL = {
+    "en": [
+        "{N} never {w} the {w}.", "{N}'s {w} {w} {w}.", "{N}'s {w} was {w}.", "{N} never received the {w}.", "Both {N} and {w} {w}.", "Bill to {N}, {A}.", "{N} ({E}, {P}) {w} {w}.", "{N} ({E}) {w} {w}.", "Signed: {N} {W} {c} {w}.", "Regards, {N}", "| {N} | {E} | {P} |",
+        "{E} is my {w}.", "{E} {w} {w} I {w}.", "{w} {w}, the {W} {w} {w} {w}.", "A {w} {w} with a {w} {w} arrived {w}.", "A {w} {w} {w} with a {w} {w} arrived the {w} {w}.", "# {w} {w}: {w} {w} {w}", "# {w} {w}: {w} {w} {w}\n{W} {w} {w}", "{w} {w} {w}, {m}", "{N}'s {w} was {w}. {W} {w} {w}", "{w} {w}, and {w} {w} {w} {w}?", "By {W}\nAgent: {W} {w}.",
+        "{i} - {w} {w} {w} {w} ({w} {w})", "Model {x} {w} {w} {x} {w}.", "The {w} {x} is {w}.", "{w} {w};{n};{n};{m}", "| {w} {w} | {n} | {n} | {m} |", "It {w} {w} and {w} {w} the {w} {w}.",
+    ],
+    "de": ["{N} hat {w} {w}.", "{N} hat {w} {w} nie {w}.", "{N} hat das Paket nie bekommen.", "{E} ist {w} {W}.", "Mein Name ist {N}.", "{N}, {A}.", "Mit freundlichem Gruß\n{N}\n{A}\nTel. {P}", "Ich habe die {W} mit {w} {w}, {w} der {W} {w}.", "{w} {w}, die {W} {w}.", "Verlust an {W} am {W}, was {w}?", "Die {W} ist {w} {w} und {w} {w}."],
+    "es": ["{N} nunca {w} la {w}.", "Hablé con {N} sobre la {w}.", "{N}, DNI {I}, {A}.", "{w} a {E}", "{E} es {w}.", "Fue una {w} {w}, la {w} parece {w}.", "{w} {w}, la {w} {w} {w}.", "Asunto: {w} de {w} {w}", "{n} {w} de {w}, {w} {w} {w} la {w}.", "Un {w} {w} y una {w} {w}, aunque {w}."],
+}
 _GIVEN = "Anna Clara Peter Martin Thomas Julia Erik Nora Oscar Helen Robert Susan David Laura Paul Emma Lukas Hannah Felix Marie Carlos Lucía Diego Elena Pablo Sofía Álvaro Inés Jürgen Sören Ülkü".split()
 _SYL = "ba be bo bram cal cor da dell den dor dun el fal fen gal gar har hol is jo kel ken lan lor lu mar mel mir nel nor os pel per quin ra ren ro sal sel sten ta tam tar tor ul van vel vi wal wen wil wyn yor zel zan".split()
 _END_G = "a e o in is an on ra na el us ert ela ine ik o ir".split()
@@ -32,10 +42,11 @@ _TOWN = "Oakmere Stonebury Larchwick Weston Millbrook Grünfeld Altdorf Neustadt
 
 
 class Maker:
-    """Random values and sentences."""
+    """Random values and sentences. small: more names in small letters, and half of the sentences of the sort of SMALL."""
 
-    def __init__(self, seed: int) -> None:
+    def __init__(self, seed: int, small: bool = False) -> None:
         self.r = random.Random(seed)
+        self.small = small
 
     def digits(self, mask: str) -> str:
         r = self.r
@@ -68,6 +79,9 @@ class Maker:
         x = r.random()
         full = f"{s}, {g}" if x < 0.2 else f"{g} {r.choice('ABCDEFHJKLMNRST')}. {s}" if x < 0.32 else f"{g[0]}. {s}" if x < 0.42 else f"{g} {s}"
         x = r.random()
+        if self.small and 0.15 <= x < 0.35:  # in small letters more often, or one part of it
+            cut = full.find(" ")
+            return full.lower() if x < 0.29 else full[:cut] + full[cut:].lower() if x < 0.32 else full[:cut].lower() + full[cut:]
         return full.upper() if x < 0.08 else full.lower() if x < 0.15 else full
 
     def phone(self, lang: str) -> str:
@@ -167,7 +181,7 @@ class Maker:
                         "c": lambda: self.digits(r.choice(["ORD-#######", "RMA-#######", "LOT-#######", "TCK-#######"])), "n": lambda: str(r.randint(2, 999)), "m": lambda: f"{r.uniform(5, 450):.2f}".replace(".", r.choice(".,")),
                         "b": lambda: self.digits(r.choice(["###-##-###X", "###-###X", "##-####X"])), "h": lambda: f"{self.given().lower()}_{r.choice(['goods', 'shop', 'team_3', 'store'])}",
                         "d": lambda: self.digits(r.choice(["16########", "17########", "003407###########", "################", "######"])), "k": lambda: self.digits("####-###-####"), "e": lambda: self.digits("000#########"),
-                        "v": lambda: f"v{r.randint(1, 5)}.{r.randint(0, 12)}.{r.randint(0, 12)}", "q": lambda: self.digits("00## #### ####"), "i": lambda: self.digits("I######"), "y": lambda: self.digits("2024-0#-1#"), "S": lambda: f"Calle {self.word(True)}",
+                        "v": lambda: f"v{r.randint(1, 5)}.{r.randint(0, 12)}.{r.randint(0, 12)}", "q": lambda: self.digits("00## #### ####"), "i": lambda: self.digits("I######"), "y": lambda: self.digits("2024-0#-1#"), "x": lambda: self.digits(r.choice(["@@#-#@", "@@-###", "@@##"])), "S": lambda: f"Calle {self.word(True)}",
                         "z": lambda: r.choice([*_GOODS_ZH, r.choice("毛白金温石黄高水方汤马花童") + r.choice("线木边泉头色领瓶形匙克纹装") + r.choice(["", *"帽碗壶盒杯灯鞋包架垫"])]),
                         "r": lambda: "".join(r.choice("橡叶石榴望桥竹影渔灯松江朝阳") for _ in range(2)) + r.choice("路街巷"),
                     }.get(k, lambda: k)()
@@ -184,7 +198,7 @@ class Maker:
         people: list[str] = []
         text, spans = "", []
         for _ in range(r.randint(2, 6)):
-            t = r.choice(templates if lang != "de" or r.random() < 0.95 else TEMPLATES["en"])
+            t = r.choice(SMALL[lang] if self.small and lang in SMALL and r.random() < 0.5 else templates if lang != "de" or r.random() < 0.95 else TEMPLATES["en"])
             s, found = self.sentence(lang, t, people)
             x = r.random()
             if x < 0.04:
@@ -218,11 +232,11 @@ def labelled(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[str], l
 
 
 def train(documents: int = 4000, seed: int = 11) -> SkipChain:
-    """A field trained on ``documents`` made texts; the skip weight is chosen on a tenth as many others."""
+    """A field trained on ``documents`` made texts and, for names in small letters, a quarter as many more; the skip weight is chosen on a tenth as many others."""
     import numpy as np
 
-    m = Maker(seed)
-    data = [labelled(*m.document()) for _ in range(documents)]
+    m, small = Maker(seed), Maker(seed + 1, small=True)
+    data = [labelled(*m.document()) for _ in range(documents)] + [labelled(*small.document()) for _ in range(documents // 4)]
     model = SkipChain()
     model.fit(data)
     held = [labelled(*m.document()) for _ in range(documents // 10)]

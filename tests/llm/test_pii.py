@@ -119,3 +119,24 @@ def test_operators(spark):
     red = {r["doc_id"]: (r["text"], r["found"]) for r in pii.redacted(docs).collect()}
     assert red == {1: ("Signed: [NAME]", 1), 2: (None, 0), 3: ("", 0), 4: ("nothing here", 0)}
     assert pii.personal_spans(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("We waited long. osric aldrey never received the parcel.", ["osric aldrey"]),
+        ("Bill to dagny harlowe, 1025 Harrow Glen Street, Brintle.", ["dagny harlowe"]),
+        ("I would order again. edda Karsholm never received the parcel.", ["edda Karsholm"]),
+        ("Artikel I627457 hat 316 Klicks. joris hollinger hat das Paket nie bekommen.", ["joris hollinger"]),
+        ("It was good. scale drifts, the hurried courier came. A steel tent with a solid lid arrived. Fue una grata sorpresa, la taza parece doblada.", []),
+    ],
+)
+def test_small_letter_names_without_cue(finder, text, want):
+    assert [text[a:b] for a, b, k in sorted(finder.find([text])[0]) if k == "name"] == want
+
+
+def test_belief_decides_small_letters():
+    forms, classes = ["so", "osric", "aldrey", "went"], ["LOWER"] * 4
+    for sure in (True, False):
+        assert pii._is_name(forms, classes, 1, 3, [0.0, 0.95 if sure else 0.52, 0.95, 0.0]) == sure
+    assert pii._is_name(["osric", "Aldrey"], ["LOWER", "TITLE"], 0, 2, [0.9, 0.9])
