@@ -3,7 +3,9 @@
 All runs of ``seed`` successive words of the items go into one Aho-Corasick automaton. Each document's normal form is scanned once; every hit names an item and a
 place in it, and is extended word by word to either side over at most one changed, dropped or added word in ``per_edit``. Offsets refer to the text as stored.
 
-A passage of 12 or more words with an edit in eight holds five unedited words in a row, so seeds of four miss none and leave room for a misspelling.
+A passage of 12 or more words with an edit in eight holds five unedited words in a row, each equal to the item's or one slip from it. Runs of four equal words are
+found by the automaton, and runs with a slip in a tree of the same runs, which is walked from the places of words that are a slip from a word of the items. So no
+passage is missed, however many of its words have a slip.
 """
 
 from __future__ import annotations
@@ -32,12 +34,25 @@ class Passages:
         self.ids = [i for i, _ in items]
         self.words = [self.split(t)[0] if t else [] for _, t in items]
         self.auto = ahocorasick.Automaton()
+        #: The runs word by word; past the last word stand the places.
+        self.tree: dict = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
             for p in range(len(words) - seed + 1):
                 places.setdefault(f" {' '.join(words[p : p + seed])} ", []).append((k, p))
         for text, at in places.items():
             self.auto.add_word(text, at)
+            node = self.tree
+            for w in text.split():
+                node = node.setdefault(w, {})
+            node[""] = at
+        #: Words of the items by what is left of them without one letter, and those a slip from a word seen before.
+        self.by_rest: dict[str, list[str]] = {}
+        for w in {w for text in places for w in text.split()}:
+            for rest in _rests(w):
+                self.by_rest.setdefault(rest, []).append(w)
+        self.slips: dict[str, tuple[str, ...]] = {}
+        self.longest = max((len(rest) for rest in self.by_rest), default=0)
         if places:
             self.auto.make_automaton()
         self.empty = not places
@@ -63,6 +78,9 @@ class Passages:
             d = order[end] - self.seed + 1
             for k, p in places:
                 hits.setdefault(k, set()).add((p, d))
+        for d, places in self._slipped(words):
+            for k, p in places:
+                hits.setdefault(k, set()).add((p, d))
         out = []
         for k, seeds in hits.items():
             best = self._extend(self.words[k], words, seeds)
@@ -71,6 +89,33 @@ class Passages:
                 out.append((self.ids[k], starts[first], ends[last], n, e))
         return out
 
+    def _near(self, word: str) -> tuple[str, ...]:
+        """Words of the items that are a slip from a word."""
+        if len(word) > self.longest + 1:
+            return ()
+        found = self.slips.get(word)
+        if found is None:
+            found = tuple({w for rest in _rests(word) for w in self.by_rest.get(rest, ()) if w != word and near(word, w)})
+            if len(self.slips) < 200_000:
+                self.slips[word] = found
+        return found
+
+    def _slipped(self, words: list[str]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Place in the text and places in the items of each run in which at least one word has a slip."""
+        others = {d: found for d, w in enumerate(words) if (found := self._near(w))}
+        begun = -1
+        for at in others:
+            for d in range(max(begun + 1, at - self.seed + 1), min(at, len(words) - self.seed) + 1):
+                begun = d
+                nodes = [(self.tree, False)]
+                for j in range(d, d + self.seed):
+                    nodes = [(n[w], slip or i > 0) for n, slip in nodes for i, w in enumerate((words[j], *others.get(j, ()))) if w in n]
+                    if not nodes:
+                        break
+                for n, slip in nodes:
+                    if slip:
+                        yield d, n[""]
+
     def _extend(self, item: list[str], doc: list[str], seeds: set[tuple[int, int]]) -> tuple[int, int, int, int] | None:
         best = None
         left = set(seeds)
@@ -95,6 +140,13 @@ class Passages:
         return best
 
 
+def _rests(word: str) -> set[str]:
+    """A word and what is left of it without one of its letters: two words a slip apart have one of these in common. Short words and numbers allow no slip."""
+    if len(word) < 3 or word.isdigit():
+        return set()
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 def _reach(item: list[str], doc: list[str], i: int, j: int, step: int, most: int) -> list[tuple[int, int]]:
     """For 0, 1, ... edits the most words of the item, and those of the document beside them, that match onwards from item[i] and doc[j], ending in a match."""
     n_item = len(item) - i if step > 0 else i + 1

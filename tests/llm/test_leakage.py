@@ -82,3 +82,26 @@ def test_many_copies_in_one_text():
     began = time.perf_counter()
     found = Passages([(1, text)]).find((text + " and again ") * 3000)
     assert found[0][:2] == (1, 0) and found[0][3:] == (60, 0) and time.perf_counter() - began < 20
+
+
+def slipped(word):
+    return word[:2] + "j" + word[3:]
+
+
+@pytest.mark.parametrize(("length", "edits", "slips"), [(12, [5], [3, 8]), (16, [5, 10], [2, 7, 13]), (12, [], range(12)), (24, [6, 12, 18], range(24))])
+def test_slips_beside_edits(length, edits, slips):
+    r = random.Random(length)
+    for _ in range(30):
+        text = item(r)
+        words = text.split()[3 : 3 + length]
+        words = ["zzzz" if i in edits else slipped(w) if i in slips else w for i, w in enumerate(words)]
+        found = Passages([(5, text)]).find("opening words come here first " + " ".join(words) + " and closing ones")
+        assert [(f[0], f[3], f[4]) for f in found] == [(5, length, len(edits))]
+        # One edit more than one in eight, at a place where nothing shorter is long enough.
+        words[length // 2 + 1] = words[length // 2 - 2] = "yyyy"
+        assert length > 16 or not Passages([(5, text)]).find(" ".join(words))
+
+
+def test_words_longer_than_any_of_the_items():
+    text = item(random.Random(2))
+    assert Passages([(1, text)]).find("x" * 200_000 + " " + text)[0][0] == 1
