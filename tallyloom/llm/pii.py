@@ -70,19 +70,20 @@ def spans_of(forms: list[str], classes: list[str], starts: list[int], ends: list
     return out
 
 
-#: Belief from which words in small letters are a name without a cue.
+#: Belief from which words in small letters are a name without a cue, and Chinese characters without a frequent family name.
 SURE = 0.6
 #: Particles of family names.
 _PARTICLES = set("van von vom zu der den de del della di da la las los le y e".split())
 
 
 def _is_name(forms: list[str], classes: list[str], a: int, b: int, belief) -> bool:
-    """A given name or an initial, and a family name: two capitalised words, one of them longer than an initial; two to four Chinese characters that begin with a family name; or
+    """A given name or an initial, and a family name: two capitalised words, one of them longer than an initial; two to four Chinese characters that begin with a family name of the
+    list, or of each of which the field believes SURE at least; or
     words some or all of which are in small letters, where the field believes of each that it is of a name: SURE at least, or likelier than any other label if all are small and
     a sign or word beside them announces a name."""
     span = forms[a:b]
     if all(len(f) == 1 and "㐀" <= f <= "鿿" for f in span):
-        return 2 <= len(span) <= 4 and span[0] in FAMILY_ZH
+        return 2 <= len(span) <= 4 and (span[0] in FAMILY_ZH or min(belief[t] for t in range(a, b)) >= SURE)
     at = [t for t in range(a, b) if forms[t][0].isalpha() and forms[t].lower() not in _PARTICLES]
     words = [forms[t] for t in at]
     if not 2 <= len(words) <= 6 or any(f[0].isdigit() for f in span) or not any(len(w.rstrip(".")) > 1 for w in words):

@@ -38,15 +38,18 @@ _END_S = "ton ley ford by wick man son berg stein mann ner hardt ez era ado ona
 _LOW = "lamp box kettle returns soft quickly seller page views overnight twice refund zip brown careful two uneven faded colour price lower since when stock rose fell again weekend favourites searches buyer courier packer wooden brass slate jars trays lista caja funda pintura ruidosa compras visitas tarde primavera nada terco mozo velas und sehr gut über geprüft zurück blass schief locker tadellos verpackt sobald".split()
 _CAP = "Monday Friday Tuesday Nobody They Between Reference Ticket Order Made Customers Honestly Frankly Does Our Item In Die Das Wir Ich Kiste Lampe Bürste Suchen Käufe Montag Freitag Papier La El Por Este Al Véase Siehe Bestellung Pedido Tasse Holz Kessel Decke Tasche Mütze".split()
 _GOODS_ZH = "毛线帽 登山鞋 手机壳 瑜伽垫 打气筒 香料盒 台灯 门锁 背包 雨衣 水壶 帐篷 拼图 烤盘 鱼缸 窗帘 挂钟 颜料 充电器 耳机 白酒 金鱼 马桶 高跟鞋 黄油 方巾 石板".split()
+#: Chinese family names that FAMILY_ZH lacks, so that the field doesn't take the list for complete.
+_RARE_ZH = "乔 易 文 安 齐 季 俞 倪 伍 聂 焦 符 章 鲁 包 成 游 欧阳 司马 诸葛 上官 岳 柴 尤 苗 项 祁 池 费 滕 甘 巩 缪 骆 柳 伏 宁 冷 管 曲 解 仇 沙 楚 匡 屈 谷 房 褚 祖 靳 尚 申 明 殷 牛 古 卓 蓝 师 饶 佟 隋 应 关".split()
 _TOWN = "Oakmere Stonebury Larchwick Weston Millbrook Grünfeld Altdorf Neustadt Rosario Valverde".split()
 
 
 class Maker:
-    """Random values and sentences. small: more names in small letters, and half of the sentences of the sort of SMALL."""
+    """Random values and sentences. small: more names in small letters, and half of the sentences of the sort of SMALL. rare: Chinese only, with family names of _RARE_ZH."""
 
-    def __init__(self, seed: int, small: bool = False) -> None:
+    def __init__(self, seed: int, small: bool = False, rare: bool = False) -> None:
         self.r = random.Random(seed)
         self.small = small
+        self.rare = rare
 
     def digits(self, mask: str) -> str:
         r = self.r
@@ -67,7 +70,7 @@ class Maker:
         if lang == "zh":
             from tallyloom.llm.pii_tokens import FAMILY_ZH
 
-            return r.choice(sorted(FAMILY_ZH)) + "".join(r.choice("若溪书窈予棠知夏思遥北辰景行雨澄子墨安歌文静浩然佳怡志强晓明丽娜建国秀英宇轩梓涵欣怡一诺") for _ in range(2 if r.random() < 0.85 else 1))
+            return r.choice(_RARE_ZH if self.rare else sorted(FAMILY_ZH)) + "".join(r.choice("若溪书窈予棠知夏思遥北辰景行雨澄子墨安歌文静浩然佳怡志强晓明丽娜建国秀英宇轩梓涵欣怡一诺") for _ in range(2 if r.random() < 0.85 else 1))
         g, s = self.given(), self.family()
         x = r.random()
         if lang == "es" and x < 0.5:
@@ -193,7 +196,7 @@ class Maker:
 
     def document(self) -> tuple[str, list[tuple[int, int, int]]]:
         r = self.r
-        lang = r.choices(["en", "de", "es", "zh"], [6, 2, 2, 2])[0]
+        lang = "zh" if self.rare else r.choices(["en", "de", "es", "zh"], [6, 2, 2, 2])[0]
         templates = TEMPLATES[lang]
         people: list[str] = []
         text, spans = "", []
@@ -232,13 +235,15 @@ def labelled(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[str], l
 
 
 def train(documents: int = 4000, seed: int = 11) -> SkipChain:
-    """A field trained on ``documents`` made texts and, for names in small letters, a quarter as many more; the skip weight is chosen on a tenth as many others."""
+    """A field trained on ``documents`` made texts and, for names in small letters, a quarter as many more, and a tenth for rare Chinese family names; the skip weight is chosen on a tenth as many others."""
     import numpy as np
 
-    m, small = Maker(seed), Maker(seed + 1, small=True)
+    m, small, rare = Maker(seed), Maker(seed + 1, small=True), Maker(seed + 2, rare=True)
     data = [labelled(*m.document()) for _ in range(documents)] + [labelled(*small.document()) for _ in range(documents // 4)]
     model = SkipChain()
     model.fit(data)
+    # Afterwards, gently and beside texts seen before, so that what is learnt of other languages stays.
+    model.fit([labelled(*rare.document()) for _ in range(documents // 10)] + data[-documents // 4 :], rate=0.05)
     held = [labelled(*m.document()) for _ in range(documents // 10)]
 
     def score(skip: float) -> float:

@@ -140,3 +140,9 @@ def test_belief_decides_small_letters():
     for sure in (True, False):
         assert pii._is_name(forms, classes, 1, 3, [0.0, 0.95 if sure else 0.52, 0.95, 0.0]) == sure
     assert pii._is_name(["osric", "Aldrey"], ["LOWER", "TITLE"], 0, 2, [0.9, 0.9])
+
+
+@pytest.mark.parametrize("name", ["乔雨澄", "易若溪", "俞景行", "倪子墨", "欧阳思遥", "阎秀英"])
+def test_chinese_family_names_beyond_the_list(finder, name):
+    for text in (f"收件人：{name}，电话：15000005918。", f"我叫{name}，下过两次单。"):
+        assert [text[a:b] for a, b, k in sorted(finder.find([text])[0]) if k == "name"] == [name]
