@@ -1,7 +1,7 @@
 """A skip-chain conditional random field over token sequences, in numpy.
 
-Neighbouring tokens share transition potentials. Tokens that recur in a document, capitalised words and numbers of equal digits, share a potential that rewards
-equal labels. Beliefs come from loopy message passing: an exact forward-backward pass over the chain, then messages over the skip edges, several times over.
+Neighbouring tokens share transition potentials. Tokens that recur in a document, capitalised words with their forms in small letters, runs of Chinese characters,
+addresses of mail and numbers of equal digits, share a potential that rewards equal labels. Beliefs come from loopy message passing: an exact forward-backward pass over the chain, then messages over the skip edges, several times over.
 The chain is trained by gradient ascent on the likelihood (AdaGrad); the skip weight is the one with the best held-out likelihood.
 """
 
@@ -253,13 +253,28 @@ def _message(cavity: np.ndarray, skip: float) -> np.ndarray:
 
 
 def _skip_edges(group: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (document, token) of successive occurrences of a recurring token."""
+    """Pairs (document, token) of successive occurrences of a recurring token: capitalised words, words in small letters that are seen capitalised in the same document, long
+    numbers, addresses of mail, and the characters of recurring runs of three Chinese ones."""
     left, right = [], []
     for r, (forms, classes) in enumerate(group):
         last: dict[str, int] = {}
+        high = {f.lower() for f, c in zip(forms, classes) if c in ("TITLE", "UPPER") and len(f) > 1}
+        runs: dict[str, int] = {}
+        joined = -1
         for i, (f, c) in enumerate(zip(forms, classes)):
-            if c in ("TITLE", "UPPER"):
-                key = f.lower() if len(f) > 3 else ""
+            if "㐀" <= f[0] <= "鿿":
+                run = "".join(forms[i : i + 3])
+                if len(run) == 3 and all("㐀" <= ch <= "鿿" for ch in run):
+                    j = runs.get(run)
+                    if j is not None:
+                        for k in range(max(0, joined - i + 1), 3):  # each place once, although runs overlap
+                            left.append((r, j + k))
+                            right.append((r, i + k))
+                        joined = i + 2
+                    runs[run] = i
+                continue
+            if c in ("TITLE", "UPPER") or (c == "LOWER" and f in high):
+                key = f.lower() if len(f) > 1 else ""
             elif f[-1:].isdigit() or f[:1].isdigit():
                 digits = "".join(ch for ch in f if ch.isdigit())
                 key = digits if len(digits) > 6 else ""

@@ -250,7 +250,7 @@ def train(documents: int = 4000, seed: int = 11) -> SkipChain:
         found = model.beliefs([(f, c) for f, c, _ in held], skip=skip)
         return float(sum(np.log(b[np.arange(len(y)), y] + 1e-12).sum() for b, (_, _, y) in zip(found, held)))
 
-    model.skip = max((0.0, 0.25, 0.5, 1.0, 1.5), key=score)
+    model.skip = max((0.25, 0.5, 1.0, 1.5), key=score)
     return model
 
 

@@ -146,3 +146,14 @@ def test_belief_decides_small_letters():
 def test_chinese_family_names_beyond_the_list(finder, name):
     for text in (f"收件人：{name}，电话：15000005918。", f"我叫{name}，下过两次单。"):
         assert [text[a:b] for a, b, k in sorted(finder.find([text])[0]) if k == "name"] == [name]
+
+
+def test_skip_edges_of_small_letters_short_and_chinese_words():
+    from tallyloom.llm.pii_crf import _skip_edges
+
+    edges = lambda text: [(int(a), int(b)) for (_, a), (_, b) in zip(*_skip_edges([tokens(text)[:2]]))]
+    assert edges("Karsholm came and karsholm went") == [(0, 3)]
+    assert edges("Ng came and Ng went") == [(0, 3)]
+    assert edges("came and came") == []
+    assert edges("桑雨澄来，桑雨澄") == [(0, 5), (1, 6), (2, 7)]
+    assert edges("桑雨澄安来，桑雨澄安") == [(0, 6), (1, 7), (2, 8), (3, 9)]
