@@ -1,6 +1,6 @@
 """One row of features per entity from events: counts, active days and recency in all and for each event type.
 
-Event types are cut into blocks; each block is aggregated by entity on its own, and the blocks are joined onto the table of all entities. The long table, the blocks and the entity table share one hash partitioning by entity, so the joins move nothing.
+One aggregation by entity and event type serves all types. The types are then cut into blocks, for pivot and join only: the finished rows of each block are gathered by entity, and the blocks are joined onto the table of all entities. The long table, the blocks and the entity table share one hash partitioning by entity, so the joins move nothing.
 """
 
 from __future__ import annotations
