@@ -1,21 +1,24 @@
 """A skip-chain conditional random field over token sequences, in numpy.
 
-Neighbouring tokens share transition potentials. Tokens that recur in a document, capitalised words with their forms in small letters, runs of Chinese characters,
-addresses of mail and numbers of equal digits, share a potential that rewards equal labels. Beliefs come from loopy message passing: an exact forward-backward pass over the chain, then messages over the skip edges, several times over.
-The chain is trained by gradient ascent on the likelihood (AdaGrad); the skip weight is the one with the best held-out likelihood.
+Neighbouring tokens share transition potentials. Tokens of a document that are equal or similar share skip potentials: equal words that are capitalised somewhere in the
+document, words one letter apart, runs of three Chinese characters, numbers of equal digits, addresses of mail. A skip potential has a weight for each sort of likeness and
+each label, gained when both ends bear that label. Beliefs come from loopy message passing: an exact forward-backward pass over the chain and messages over the skip
+edges in turn, until no message moves.
+All weights are trained together by gradient ascent (AdaGrad) on the likelihood, with the beliefs of the loopy passing in the gradient.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 
 import numpy as np
 
 LABELS = ("O", "email", "phone", "id_number", "address", "name")
 K = len(LABELS)
+#: Sorts of likeness between two tokens.
+LIKENESS = ("word", "similar", "run", "number", "mail")
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3, 4)
-BITS = 16
+BITS = 18
 SIZE = 1 << BITS
 #: Pairs and triples of positions whose classes form a feature, and positions whose word forms one with the token's class.
 CLASS_SETS = ((-1, 0), (0, 1), (-2, 0), (0, 2), (-1, 0, 1), (-2, -1, 0), (0, 1, 2), (-2, -1, 0, 1), (-1, 0, 1, 2), (-3, -2, -1, 0))
@@ -51,7 +54,7 @@ class Vocabulary:
 
 
 #: Classes whose own letters are features.
-_SPELT = {"LOWER", "TITLE", "UPPER", "STREET", "STREETES", "STREETDE", "INITIAL", "LETTER", "ZH", "ZHFAM", "ZHEND", "ZHUNIT", "BATCH", "STAMP", "ZHNOT"}
+_SPELT = {"LOWER", "TITLE", "UPPER", "STREET", "STREETES", "STREETDE", "INITIAL", "LETTER", "ZH", "ZHFAM", "ZHEND", "ZHUNIT", "THING", "ZHTHING"}
 
 
 def _number(h: np.ndarray) -> np.ndarray:
@@ -88,18 +91,18 @@ _PAD = np.zeros(4, np.int64)
 
 
 class SkipChain:
-    """Weights of the field: per feature and label, transitions, start and skip."""
+    """Weights of the field: per feature and label, transitions, and per likeness and label the skip weight."""
 
-    def __init__(self, weights: np.ndarray | None = None, transitions: np.ndarray | None = None, skip: float = 1.0) -> None:
+    def __init__(self, weights: np.ndarray | None = None, transitions: np.ndarray | None = None, skip: np.ndarray | None = None) -> None:
         self.weights = np.zeros((SIZE, K), np.float32) if weights is None else weights
         self.transitions = np.zeros((K, K), np.float32) if transitions is None else transitions
-        self.skip = skip
+        self.skip = np.zeros((len(LIKENESS), K)) if skip is None else skip
         self.vocabulary = Vocabulary()
         self._arrays: tuple | None = None
         self._own: list[np.ndarray] | None = None
         self._fitted = True
 
-    def state(self) -> tuple[np.ndarray, np.ndarray, float]:
+    def state(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.weights, self.transitions, self.skip
 
     def _types(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,33 +134,46 @@ class SkipChain:
 
     # Training
 
-    def fit(self, sequences: list[tuple[list[str], list[str], list[int]]], epochs: int = 6, batch: int = 48, rate: float = 0.25, decay: float = 1e-6, seed: int = 7) -> None:
+    def fit(self, sequences: list[tuple[list[str], list[str], list[int]]], epochs: int = 3, batch: int = 48, rate: float = 0.1, decay: float = 0.05, seed: int = 7) -> None:
         """sequences: forms, classes and label numbers of each."""
         self._fitted = True
-        data = [(self.vocabulary.sequence(f, c), np.array(y, np.int64)) for f, c, y in sequences if f]
+        data = sorted((d for d in sequences if d[0]), key=lambda d: len(d[0]))
         rng = np.random.default_rng(seed)
-        grad2_w = np.full((SIZE, K), 1e-2, np.float32)
-        grad2_t = np.full((K, K), 1e-2, np.float32)
-        data.sort(key=lambda d: len(d[0]))
-        batches = [data[i : i + batch] for i in range(0, len(data), batch)]
+        sums = [np.full(w.shape, 1e-2, np.float32) for w in (self.weights, self.transitions, self.skip)]
+        at = [self.vocabulary.sequence(f, c) for f, c, _ in data]
         prepared = []
-        for group in batches:
-            feats = [self.features(x) for x, _ in group]
-            prepared.append((feats, [y for _, y in group]))
+        for i in range(0, len(data), batch):
+            group = data[i : i + batch]
+            feats = [self.features(x) for x in at[i : i + batch]]
+            prepared.append((feats, [np.array(y, np.int64) for *_, y in group], _skip_edges([(f, c) for f, c, _ in group])))
+        # What the chain has learnt by heart needs no help of like tokens, so the skip weights learn from batches that the chain doesn't learn from.
+        apart = set(rng.choice(len(prepared), len(prepared) // 5, replace=False).tolist())
         for _ in range(epochs):
             for b in rng.permutation(len(prepared)):
-                feats, labels = prepared[b]
-                self._step(feats, labels, grad2_w, grad2_t, rate, decay)
+                self._step(*prepared[b], *sums, rate, decay, int(b) in apart)
 
-    def _step(self, feats, labels, grad2_w, grad2_t, rate, decay) -> None:
+    def _step(self, feats, labels, edges, grad2_w, grad2_t, grad2_s, rate, decay, apart) -> None:
         lengths = [len(y) for y in labels]
         top, n = max(lengths), len(labels)
         e = np.zeros((n, top, K))
         mask = np.zeros((n, top), bool)
-        for i, f in enumerate(feats):
+        gold = np.zeros((n, top), np.int64)
+        for i, (f, y) in enumerate(zip(feats, labels)):
             e[i, : lengths[i]] = self.weights[f].sum(1)
             mask[i, : lengths[i]] = True
-        belief, pair = _chain(e, mask, self.transitions.astype(float), pairs=True)
+            gold[i, : lengths[i]] = y
+        transitions = self.transitions.astype(float)
+        left, right, sort = edges
+        messages, agree = None, None
+        if len(left):
+            _, messages, agree = _loopy(e, mask, transitions, edges, self.skip, most_rounds=8)
+            e = e.copy()
+            np.add.at(e, (left[:, 0], left[:, 1]), messages[0])
+            np.add.at(e, (right[:, 0], right[:, 1]), messages[1])
+        belief, pair = _chain(e, mask, transitions, pairs=True)
+        if apart:
+            self._step_skip(gold, edges, agree, grad2_s)
+            return
         gt = -pair
         flat_f, flat_g = [], []
         for i, (f, y) in enumerate(zip(feats, labels)):
@@ -171,20 +187,32 @@ class SkipChain:
         live = np.abs(g).max(1) > 1e-3
         f, g = f[live], g[live]
         if len(f):
-            ids, back = np.unique(f.ravel(), return_inverse=True)
-            total = np.zeros((len(ids), K), np.float32)
-            spread = np.repeat(g, f.shape[1], 0)
+            flat = f.ravel()
+            ids = np.flatnonzero(np.bincount(flat, minlength=SIZE))
+            total = np.empty((len(ids), K), np.float32)
             for k in range(K):
-                total[:, k] = np.bincount(back.ravel(), spread[:, k], len(ids))
+                total[:, k] = np.bincount(flat, np.repeat(g[:, k], f.shape[1]), SIZE)[ids]
             total -= decay * self.weights[ids]
             grad2_w[ids] += total**2
             self.weights[ids] += rate * total / np.sqrt(grad2_w[ids])
         grad2_t += (gt**2).astype(np.float32)
         self.transitions += (rate * gt / np.sqrt(grad2_t)).astype(np.float32)
 
+    def _step_skip(self, gold: np.ndarray, edges: tuple, agree: np.ndarray | None, grad2_s: np.ndarray) -> None:
+        left, right, sort = edges
+        if not len(left):
+            return
+        gs = -1e-2 * self.skip
+        np.add.at(gs, sort, -agree)
+        yl, yr = gold[left[:, 0], left[:, 1]], gold[right[:, 0], right[:, 1]]
+        same = yl == yr
+        np.add.at(gs, (sort[same], yl[same]), 1.0)
+        grad2_s += (gs**2).astype(np.float32)
+        self.skip = self.skip + 0.25 * gs / np.sqrt(grad2_s)
+
     # Inference
 
-    def beliefs(self, documents: list[tuple[list[str], list[str]]], rounds: int = 3, skip: float | None = None) -> list[np.ndarray]:
+    def beliefs(self, documents: list[tuple[list[str], list[str]]], skip: np.ndarray | None = None) -> list[np.ndarray]:
         """Label probabilities (n, K) of the tokens of each document."""
         skip = self.skip if skip is None else skip
         v = self.vocabulary
@@ -194,6 +222,7 @@ class SkipChain:
         at = [v.sequence(f, c) for f, c in documents]
         out: list[np.ndarray | None] = [None] * len(documents)
         order = sorted(range(len(documents)), key=lambda i: len(at[i]))
+        transitions = self.transitions.astype(float)
         start = 0
         while start < len(order):
             # As many documents as stay near 200,000 padded tokens; a single long one goes alone.
@@ -216,51 +245,74 @@ class SkipChain:
                     part = self.scores(x[a : a + 20_008])
                     e[r, a : a + len(part)] = part
                 mask[r, : lengths[r]] = True
-            left, right = _skip_edges([documents[i] for i in group])
-            belief, _ = _chain(e, mask, self.transitions.astype(float))
-            if len(left) and skip > 0:
-                # An edge between two tokens that surely have no label changes nothing.
-                live = np.minimum(belief[left[:, 0], left[:, 1], 0], belief[right[:, 0], right[:, 1], 0]) < 0.999
-                left, right = left[live], right[live]
-            if len(left) and skip > 0:
-                rows, at_row = np.unique(left[:, 0], return_inverse=True)
-                top = int(mask[rows].sum(1).max())
-                base, part, sub = e[rows, :top], mask[rows, :top], belief[rows, :top]
-                lr, lc, rr, rc = at_row.ravel(), left[:, 1], at_row.ravel(), right[:, 1]
-                to_left = np.zeros((len(left), K))
-                to_right = np.zeros((len(left), K))
-                for _ in range(rounds):
-                    lb = np.log(sub + 1e-30)
-                    cavity_l = lb[lr, lc] - to_left
-                    cavity_r = lb[rr, rc] - to_right
-                    to_right = 0.5 * to_right + 0.5 * _message(cavity_l, skip)
-                    to_left = 0.5 * to_left + 0.5 * _message(cavity_r, skip)
-                    now = base.copy()
-                    np.add.at(now, (lr, lc), to_left)
-                    np.add.at(now, (rr, rc), to_right)
-                    sub, _ = _chain(now, part, self.transitions.astype(float))
-                belief[rows, :top] = sub
+            belief, _, _ = _loopy(e, mask, transitions, _skip_edges([documents[i] for i in group]), skip)
             for r, i in enumerate(group):
                 out[i] = belief[r, : lengths[r]]
         return out
 
 
-def _message(cavity: np.ndarray, skip: float) -> np.ndarray:
-    """Log message over an edge that rewards equal labels."""
-    p = np.exp(cavity - cavity.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    return np.log(1.0 + (np.exp(skip) - 1.0) * p)
-
-
-def _skip_edges(group: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (document, token) of successive occurrences of a recurring token: capitalised words, words in small letters that are seen capitalised in the same document, long
-    numbers, addresses of mail, and the characters of recurring runs of three Chinese ones."""
-    left, right = [], []
+def _loopy(e: np.ndarray, mask: np.ndarray, transitions: np.ndarray, edges: tuple, skip: np.ndarray, tolerance: float = 1e-3, most_rounds: int = 200) -> tuple[np.ndarray, tuple, np.ndarray]:
+    """Beliefs of a batch of documents by chain passes and messages over all skip edges in turn, until no message of a document moves by tolerance; then its messages stay. Also the
+    messages to either end of each edge, and how surely both ends of it bear each label.
+
+    Where messages go round for ever, damping brings them to rest; most_rounds is a stop for the rest, far beyond what texts need.
+    """
+    left, right, sort = edges
+    belief, _ = _chain(e, mask, transitions)
+    to_left, to_right = np.zeros((len(left), K)), np.zeros((len(left), K))
+    gain = np.expm1(skip[sort])
+    active = np.arange(len(left))
+    for round_ in range(most_rounds):
+        if not len(active):
+            break
+        # Only documents whose messages still move are passed over.
+        rows, at_row = np.unique(left[active, 0], return_inverse=True)
+        at_row = at_row.ravel()
+        top = int(mask[rows].sum(1).max())
+        lc, rc = left[active, 1], right[active, 1]
+        log_belief = np.log(belief[rows, :top] + 1e-30)
+        new_right = _message(log_belief[at_row, lc] - to_left[active], gain[active])
+        new_left = _message(log_belief[at_row, rc] - to_right[active], gain[active])
+        keep = 0.0 if round_ < 3 else 0.5
+        new_right = keep * to_right[active] + (1 - keep) * new_right
+        new_left = keep * to_left[active] + (1 - keep) * new_left
+        moved = np.maximum(np.abs(new_right - to_right[active]).max(1), np.abs(new_left - to_left[active]).max(1))
+        to_right[active], to_left[active] = new_right, new_left
+        now = e[rows, :top].copy()
+        np.add.at(now, (at_row, lc), new_left)
+        np.add.at(now, (at_row, rc), new_right)
+        belief[rows, :top] = _chain(now, mask[rows, :top], transitions)[0]
+        most = np.zeros(len(rows))
+        np.maximum.at(most, at_row, moved)
+        active = active[most[at_row] > tolerance]
+    agree = np.zeros((len(left), K))
+    if len(left):
+        p = _normal(np.log(belief[left[:, 0], left[:, 1]] + 1e-30) - to_left)
+        q = _normal(np.log(belief[right[:, 0], right[:, 1]] + 1e-30) - to_right)
+        both = p * q
+        agree = both * (gain + 1) / (1 + (both * gain).sum(1, keepdims=True))
+    return belief, (to_left, to_right), agree
+
+
+def _normal(log_p: np.ndarray) -> np.ndarray:
+    p = np.exp(log_p - log_p.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _message(cavity: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Log message over an edge whose ends gain by equal labels."""
+    return np.log(np.maximum(1.0 + gain * _normal(cavity), 1e-6))
+
+
+def _skip_edges(group: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (document, token) of successive like tokens, and the number of their likeness in LIKENESS."""
+    left, right, sort = [], [], []
     for r, (forms, classes) in enumerate(group):
         last: dict[str, int] = {}
-        high = {f.lower() for f, c in zip(forms, classes) if c in ("TITLE", "UPPER") and len(f) > 1}
+        high = {_stem(f) for f, c in zip(forms, classes) if c in ("TITLE", "UPPER") and len(f) > 1}
         runs: dict[str, int] = {}
         joined = -1
+        words: dict[str, int] = {}
         for i, (f, c) in enumerate(zip(forms, classes)):
             if "㐀" <= f[0] <= "鿿":
                 run = "".join(forms[i : i + 3])
@@ -270,51 +322,77 @@ def _skip_edges(group: list[tuple[list[str], list[str]]]) -> tuple[np.ndarray, n
                         for k in range(max(0, joined - i + 1), 3):  # each place once, although runs overlap
                             left.append((r, j + k))
                             right.append((r, i + k))
+                            sort.append(2)
                         joined = i + 2
                     runs[run] = i
                 continue
-            if c in ("TITLE", "UPPER") or (c == "LOWER" and f in high):
-                key = f.lower() if len(f) > 1 else ""
+            kind = 0
+            if c in ("TITLE", "UPPER", "LOWER"):
+                key = _stem(f) if len(f) > 1 else ""
+                if key not in high:
+                    key = ""
+                elif key not in words:
+                    words[key] = i
             elif f[-1:].isdigit() or f[:1].isdigit():
                 digits = "".join(ch for ch in f if ch.isdigit())
-                key = digits if len(digits) > 6 else ""
+                key, kind = (digits if len(digits) > 4 else ""), 3
             else:
-                key = f.lower() if c == "EMAIL" else ""
+                key, kind = (f.lower() if c == "EMAIL" else ""), 4
             if key:
                 j = last.get(key)
                 if j is not None:
                     left.append((r, j))
                     right.append((r, i))
+                    sort.append(kind)
                 last[key] = i
-    return np.array(left, np.int64).reshape(-1, 2), np.array(right, np.int64).reshape(-1, 2)
+        # Words one letter apart meet in what is left of them without a letter; the first places of both are linked.
+        rests: dict[str, int] = {}
+        linked: set[tuple[int, int]] = set()
+        for w, i in words.items():
+            if len(w) > 4:
+                for rest in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
+                    j = rests.setdefault(rest, i)
+                    if j != i and (j, i) not in linked:
+                        linked.add((j, i))
+                        left.append((r, j))
+                        right.append((r, i))
+                        sort.append(1)
+    return np.array(left, np.int64).reshape(-1, 2), np.array(right, np.int64).reshape(-1, 2), np.array(sort, np.int64)
+
+
+def _stem(form: str) -> str:
+    """A word in small letters without the ending of a possessive."""
+    low = form.lower()
+    return low[:-2] if low.endswith(("'s", "’s")) else low
 
 
 def _chain(e: np.ndarray, mask: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Beliefs of a batch of chains by the forward-backward recursion, and the summed pair beliefs. Padding is at the end."""
     n, top, _ = e.shape
     a = np.exp(transitions)
-    x = np.exp(e - e.max(2, keepdims=True))
-    x[~mask] = 1.0
+    # Time goes first in memory, as each step reads one time of all chains.
+    x = np.exp(e - e.max(2, keepdims=True)).transpose(1, 0, 2).copy()
+    live = mask.T.copy()
+    x[~live] = 1.0
     alpha = np.empty_like(x)
     beta = np.empty_like(x)
-    alpha[:, 0] = x[:, 0] / x[:, 0].sum(1, keepdims=True)
+    alpha[0] = x[0] / x[0].sum(1, keepdims=True)
     for t in range(1, top):
-        m = (alpha[:, t - 1] @ a) * x[:, t]
-        alpha[:, t] = m / m.sum(1, keepdims=True)
-    beta[:, top - 1] = 1.0
+        m = (alpha[t - 1] @ a) * x[t]
+        alpha[t] = m / m.sum(1, keepdims=True)
+    beta[top - 1] = 1.0
+    back = a.T.copy()
     for t in range(top - 2, -1, -1):
-        m = (beta[:, t + 1] * x[:, t + 1]) @ a.T
-        live = mask[:, t + 1, None]
-        beta[:, t] = np.where(live, m / m.sum(1, keepdims=True), 1.0)
+        m = (beta[t + 1] * x[t + 1]) @ back
+        m /= m.sum(1, keepdims=True)
+        m[~live[t + 1]] = 1.0
+        beta[t] = m
     belief = alpha * beta
     belief /= belief.sum(2, keepdims=True)
     total = None
     if pairs:
-        total = np.zeros((K, K))
-        for t in range(top - 1):
-            live = mask[:, t + 1]
-            if not live.any():
-                break
-            p = alpha[live, t][:, :, None] * a[None] * (x[live, t + 1] * beta[live, t + 1])[:, None, :]
-            total += (p / p.sum((1, 2), keepdims=True)).sum(0)
-    return belief, total
+        left = alpha[:-1][live[1:]]
+        right = (x[1:] * beta[1:])[live[1:]]
+        # Each pair's sum is left' a right, so the pairs add up in one product.
+        total = a * ((left / np.einsum("ik,kl,il->i", left, a, right)[:, None]).T @ right)
+    return belief.transpose(1, 0, 2), total

@@ -9,12 +9,12 @@ from tallyloom.llm.textnorm import INVISIBLE
 
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt|punto)\s?[)\]}]\s?|\s(?:dot|punkt|punto)\s)"
 _AT = r"(?:\s?@\s?|%40|\s?[(\[{]\s?(?:at|ät|arroba)\s?[)\]}]\s?|\s(?:at|ät|arroba)\s(?=[\w-]+(?:\s(?:dot|punkt|punto)\s|\s?[(\[{]\s?(?:dot|punkt|punto)))|#at#)"
-_PART = r"[A-Za-z0-9_+\-À-ÖØ-öø-ÿ]+"
+_PART = r"[A-Za-z0-9_+\-À-ÖØ-öø-ɏ]+"
 _D = r"\d"
 #: Token kinds in order of precedence.
 _KINDS = [
-    ("TAG", r"</?(?:p|br|b|i|u|em|strong|span|div|li|ul|ol|td|tr|th|table|h[1-6]|a|font)\b[^<>@]{0,120}>|&(?:#\d{1,7}|[a-z]{2,8});"),
-    ("EMAIL", rf"(?<![A-Za-z0-9_.+-]){_PART}(?:{_DOT}{_PART})*{_AT}(?:[A-Za-z0-9\-]+{_DOT})+[A-Za-z][A-Za-z0-9\-]+"),
+    ("TAG", r"</?(?:p|br|b|i|u|em|strong|span|div|li|ul|ol|td|tr|th|table|h[1-6]|a|font)\b[^<>@]*>|&(?:#\d{1,7}|[a-z]{2,8});"),
+    ("EMAIL", rf"(?<![A-Za-z0-9_.+-]){_PART}(?:{_DOT}{_PART})*{_AT}(?:[A-Za-z0-9\-À-ÖØ-öø-ɏ]+{_DOT})+[A-Za-z][A-Za-z0-9\-]+"),
     ("URL", r"(?:https?://|www\.)\S+|\b[A-Za-z0-9\-]+(?:\.[A-Za-z\-]+)+/\S*"),
     ("HANDLE", r"(?<![A-Za-z0-9])@\w[\w.]*"),
     ("CODE", r"(?<![A-Za-z0-9_])[A-Z]{3,5}-\d[\dA-Z-]*|(?<![A-Za-z0-9_])v\d+(?:\.\d+)+|(?<![A-Za-z0-9_])I\d{2,}(?![A-Za-z0-9])"),
@@ -40,16 +40,17 @@ _HIDDEN = re.compile(f"[{INVISIBLE}]")
 STREET_EN = set("street st st. avenue ave ave. lane ln ln. road rd rd. close terrace row drive dr dr. boulevard blvd blvd. way court ct place pl square crescent gardens hill walk parkway".split())
 STREET_DE = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "stieg", "ufer", "ring", "damm", "pfad")
 STREET_ES = set("calle c avenida avda avda. av av. paseo plaza camino carretera ronda travesía".split())
-#: Words that announce a kind of information.
+#: Everyday words that announce a kind of information, as they stand on forms and letters.
 CUES = {
-    "TEL": set("tel tel. phone telephone mobile cell whatsapp call ring fax contact number telefon nummer handy anrufen angerufen rufen unter teléfono móvil llamen llamamos número contesta 电 话 拨 打".split()),
-    "MAIL": set("email e-mail mail mailto correo write schreiben erreichbar cuenta 邮 箱".split()),
-    "IDNO": set("id ssn ni nino national_id national social identity tax insurance passport ausweis ausweisnummer personalausweis steuer dni nie nif identidad documento 证 件 份".split()),
-    "ADDR": set("address adresse anschrift dirección deliver ship bill liefern wohne vivo live envíenlo paquete parcel pick ging fue lives 址 寄 住".split()),
-    "WHO": set("name regards dear signed recipient from cc hello hi attn mr mr. mrs mrs. ms ms. dr dr. frau herr hallo grüße gruß empfänger von de hola saludo saludos abrazo cordialmente thanks sincerely señor señora sr. sra. firmado destinatario llamo nombre both spoke accepted atentamente sincerely 叫 姓".split()),
+    "TEL": set("tel tel. phone telephone mobile cell whatsapp fax landline call dial ring telefon telefonnummer rufnummer handy handynummer mobil festnetz anrufen wählen teléfono móvil celular llamar llame marcar marque tfno. 电 话 拨 致".split()),
+    "MAIL": set("email e-mail mail mailto mailbox inbox correo mailadresse 邮 箱".split()),
+    "IDNO": set("id ssn ni nino passport identity social insurance taxpayer steuer-id steuernummer ausweis ausweisnummer personalausweis reisepass passnummer dni nie nif pasaporte identidad documento 证 身 护".split()),
+    "ADDR": set("address residence located adresse anschrift wohnort wohnt dirección domicilio sede residencia 址 住 寄".split()),
+    "WHO": set("name mr mr. mrs mrs. ms ms. dr dr. miss prof. sir dear regards signed sincerely attn recipient sender frau herr herrn hallo liebe lieber grüße empfänger absender nombre señor señora sr. sra. don doña hola saludos firmado destinatario remitente 姓 名 叫".split()),
 }
 _CUE = {w: k for k, ws in CUES.items() for w in ws}
-_NOT_PERSON = {"batch": "BATCH", "charge": "BATCH", "lote": "BATCH", "timestamp": "STAMP", "ean": "BATCH", "sku": "BATCH", "tracking": "BATCH", "sendung": "BATCH", "envío": "BATCH", "server": "BATCH", "运": "BATCH", "批": "BATCH"}
+#: Words that announce numbers of things.
+_OF_THINGS = set("batch lot ean sku isbn tracking parcel order invoice serial item article charge sendung bestellung rechnung artikel lote pedido factura envío artículo 单 批 货 运".split())
 #: Frequent Chinese family names.
 FAMILY_ZH = set("王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗高郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温岑祝柏裴蔺冉桑宫鄢简阮庄翟施洪常卞凌霍路梅盛童欧单娄柯葛左")
 
@@ -88,8 +89,8 @@ def token_class(kind: str, s: str) -> str:
         low = s.lower()
         if low in _CUE:
             return "C_" + _CUE[low]
-        if low in _NOT_PERSON:
-            return _NOT_PERSON[low]
+        if low in _OF_THINGS:
+            return "THING"
         if low in STREET_EN:
             return "STREET"
         if low in STREET_ES:
@@ -106,9 +107,9 @@ def token_class(kind: str, s: str) -> str:
     if kind == "CJK":
         if s in _CUE:
             return "C_" + _CUE[s]
-        if s in _NOT_PERSON:
-            return "ZHNOT"
-        for k, chars in (("ZHCITY", "市省县"), ("ZHAREA", "区镇乡"), ("ZHROAD", "路街巷弄道"), ("ZHNO", "号"), ("ZHUNIT", "栋单元室楼幢"), ("ZHEND", "了到在是叫于")):
+        if s in _OF_THINGS:
+            return "ZHTHING"
+        for k, chars in (("ZHCITY", "市省县"), ("ZHAREA", "区镇乡"), ("ZHROAD", "路街巷弄道"), ("ZHNO", "号"), ("ZHUNIT", "栋单元室楼幢"), ("ZHEND", "了到在是于")):
             if s in chars:
                 return k
         return "ZHFAM" if s in FAMILY_ZH else "ZH"

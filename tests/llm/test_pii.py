@@ -1,10 +1,16 @@
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from tallyloom.llm import pii
-from tallyloom.llm.pii_crf import K, SkipChain, _chain
+from tallyloom.llm.pii_crf import K, LABELS, LIKENESS, SIZE, SkipChain, _chain, _loopy, _skip_edges
 from tallyloom.llm.pii_tokens import tokens
-from tallyloom.llm.pii_training import Maker, labelled, train
+from tallyloom.llm.pii_training import Maker, labelled
+
+sys.path.insert(0, str(Path(__file__).parent))
+from pii_held_out import scores, texts  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -43,14 +49,16 @@ def test_repeated_tokens_share_labels():
     # A strong sign at the first place only.
     own = [f for f in model.features(at)[0] if f not in set(model.features(at)[3])]
     model.weights[own, 5] = 3.0
-    alone = model.beliefs([(forms, classes)], skip=0.0)[0]
-    linked = model.beliefs([(forms, classes)], skip=1.5)[0]
+    none, some = np.zeros((len(LIKENESS), K)), np.zeros((len(LIKENESS), K))
+    some[0] = 1.5
+    alone = model.beliefs([(forms, classes)], skip=none)[0]
+    linked = model.beliefs([(forms, classes)], skip=some)[0]
     assert linked[3, 5] > alone[3, 5] + 0.1 and linked[0, 5] > 0.9
 
 
 def test_kept_scores_equal_summed_features():
     r = np.random.default_rng(1)
-    model = SkipChain(weights=r.normal(size=(1 << 16, K)).astype(np.float32))
+    model = SkipChain(weights=r.normal(size=(SIZE, K)).astype(np.float32))
     m = Maker(4)
     for _ in range(5):
         f, c, _ = labelled(*m.document())
@@ -59,13 +67,47 @@ def test_kept_scores_equal_summed_features():
         assert np.allclose(model.scores(x), model.weights[model.features(at)].sum(1), atol=1e-3)
 
 
-def test_held_out_accuracy():
-    model = train(1200, seed=5)
+def test_loopy_beliefs_equal_enumeration_on_a_tree():
+    """One edge between two texts' ends closes no loop but with the chain; with the chain cut by even transitions the graph is a tree and messages are exact."""
+    from itertools import product
+
+    r = np.random.default_rng(2)
+    e = r.normal(size=(1, 3, K))
+    skip = np.zeros((len(LIKENESS), K))
+    skip[0] = r.normal(size=K)
+    edges = (np.array([[0, 0]]), np.array([[0, 2]]), np.array([0]))
+    belief, _, agree = _loopy(e, np.ones((1, 3), bool), np.zeros((K, K)), edges, skip)
+    want, both, z = np.zeros((3, K)), np.zeros(K), 0.0
+    for y in product(range(K), repeat=3):
+        p = np.exp(sum(e[0, i, y[i]] for i in range(3)) + (skip[0, y[0]] if y[0] == y[2] else 0.0))
+        z += p
+        for i in range(3):
+            want[i, y[i]] += p
+        if y[0] == y[2]:
+            both[y[0]] += p
+    assert np.allclose(belief[0], want / z, atol=1e-3) and np.allclose(agree[0], both / z, atol=1e-3)
+
+
+def test_made_texts_and_skip_potentials(finder):
+    """On made texts of another seed; persons and things that recur at unclear places are told apart by their other places only, so without skip potentials fewer are."""
     m = Maker(77)
-    held = [labelled(*m.document()) for _ in range(250)]
-    found = model.beliefs([(f, c) for f, c, _ in held])
-    right = sum(int((b.argmax(1) == np.array(y)).sum()) for b, (_, _, y) in zip(found, held))
-    assert right / sum(len(y) for *_, y in held) > 0.985
+    made = [m.document() for _ in range(600)]
+    wanted = [[(a, b, LABELS[k]) for a, b, k in s] for _, s in made]
+    model = finder.model
+    with_skip = scores(finder.find([t for t, _ in made]), wanted)
+    kept, model.skip = model.skip, np.zeros_like(model.skip)
+    without = scores(finder.find([t for t, _ in made]), wanted)
+    model.skip = kept
+    assert with_skip["name"][2] > 1.02 * without["name"][2]
+    for kind in ("email", "phone", "address"):
+        assert with_skip[kind][2] > 0.9 * max(with_skip[kind][:2])
+
+
+def test_held_out_texts(finder):
+    """Recall and precision on texts of other forms than those of training. Their names, unlike the other values, stand in stories, of which no label tells."""
+    held = texts()
+    for kind, (wanted, found, both) in scores(finder.find([t for t, _ in held]), [s for _, s in held]).items():
+        assert both >= 0.9 * wanted and both >= 0.9 * found, (kind, wanted, found, both)
 
 
 CASES = [
@@ -135,11 +177,9 @@ def test_small_letter_names_without_cue(finder, text, want):
     assert [text[a:b] for a, b, k in sorted(finder.find([text])[0]) if k == "name"] == want
 
 
-def test_belief_decides_small_letters():
-    forms, classes = ["so", "osric", "aldrey", "went"], ["LOWER"] * 4
-    for sure in (True, False):
-        assert pii._is_name(forms, classes, 1, 3, [0.0, 0.95 if sure else 0.52, 0.95, 0.0]) == sure
-    assert pii._is_name(["osric", "Aldrey"], ["LOWER", "TITLE"], 0, 2, [0.9, 0.9])
+def test_form_of_names():
+    assert pii._is_name(["osric", "Aldrey"]) and pii._is_name(["A.", "Ng"]) and pii._is_name(["欧", "阳", "思", "遥", "安"]) and pii._is_name("Ana Maria del Carmen de la Cruz y Rio Alba Sol Luz".split())
+    assert not pii._is_name(["Aldrey"]) and not pii._is_name(["A.", "B."]) and not pii._is_name(["de", "Aldrey"]) and not pii._is_name(["王"])
 
 
 @pytest.mark.parametrize("name", ["乔雨澄", "易若溪", "俞景行", "倪子墨", "欧阳思遥", "阎秀英"])
@@ -149,11 +189,14 @@ def test_chinese_family_names_beyond_the_list(finder, name):
 
 
 def test_skip_edges_of_small_letters_short_and_chinese_words():
-    from tallyloom.llm.pii_crf import _skip_edges
-
-    edges = lambda text: [(int(a), int(b)) for (_, a), (_, b) in zip(*_skip_edges([tokens(text)[:2]]))]
+    edges = lambda text: [(int(a), int(b)) for (_, a), (_, b) in zip(*_skip_edges([tokens(text)[:2]])[:2])]
     assert edges("Karsholm came and karsholm went") == [(0, 3)]
     assert edges("Ng came and Ng went") == [(0, 3)]
     assert edges("came and came") == []
     assert edges("桑雨澄来，桑雨澄") == [(0, 5), (1, 6), (2, 7)]
     assert edges("桑雨澄安来，桑雨澄安") == [(0, 6), (1, 7), (2, 8), (3, 9)]
+
+
+def test_skip_edges_of_similar_words():
+    left, right, sort = _skip_edges([tokens("Karsholm's parcel, for Karsholn")[:2]])
+    assert [(int(a[1]), int(b[1]), int(k)) for a, b, k in zip(left, right, sort)] == [(0, 4, 1)]
