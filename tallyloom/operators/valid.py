@@ -12,8 +12,8 @@ from tallyloom.schema import BEHAVIORS
 MILLIS_FROM = 100_000_000_000
 
 
-def normal_log(log: DataFrame) -> DataFrame:
-    """user_id, item_id, category, behavior, ts in normal form, row by row.
+def normal_log(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """user_id, item_id, category, behavior, ts in normal form, row by row, and the columns to keep as they are.
 
     White space (every Unicode kind) goes at both ends, inside category each run becomes one space; ids are in upper case, category and behavior in lower
     case; a timestamp of 10^11 or more counts milliseconds and is cut to seconds. Nulls stay null; other columns of the log are left out.
@@ -25,6 +25,7 @@ def normal_log(log: DataFrame) -> DataFrame:
         F.lower(unless_clean(category, r"\A[A-Za-z]+( [A-Za-z]+)*\z", squeeze_space(category))).alias("category"),
         F.when(behavior.isin(*BEHAVIORS), behavior).otherwise(F.lower(strip_space(behavior))).alias("behavior"),
         F.when(ts >= MILLIS_FROM, F.call_function("div", ts, F.lit(1000).cast("bigint"))).otherwise(ts).cast("bigint").alias("ts"),
+        *[F.col(f"`{c}`") for c in keep],
     )
 
 
@@ -40,12 +41,12 @@ def is_valid() -> Column:
     )
 
 
-def valid_rows(log: DataFrame) -> DataFrame:
+def valid_rows(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Valid rows in normal form, repeated ones kept. What can be told from the stored values is asked of them too, so that the scan skips such rows and row groups."""
     stored = F.col("timestamp") > 0
     for c in ("userId", "itemId", "category", "behavior"):
         stored = stored & F.col(f"`{c}`").isNotNull()
-    return normal_log(log.filter(stored)).filter(is_valid())
+    return normal_log(log.filter(stored), keep).filter(is_valid())
 
 
 def valid_log(log: DataFrame) -> DataFrame:
