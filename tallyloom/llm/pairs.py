@@ -4,6 +4,11 @@ A store holds, for each period, basket contents, the number of baskets, the marg
 changes turns each changed basket into signed deltas of pairs and marginals; they merge into the buckets they fall into, and only the scores of the periods
 concerned are computed again.
 
+A store lives in its folder: the tables in folders of their own for each batch, and a manifest that says which of them hold each (period, bucket). A batch ends with the
+manifest's next version, put in place by one rename that fails if another writer was first. So a store can be opened again at any time, a batch that fails leaves it
+as it was, and nothing that a manifest names is ever written again. A manifest has one entry for each period and bucket of a table: it grows with the days kept, not
+with the rows.
+
 Baskets of more than ``heavy`` items emit no pairs, as their number is quadratic. The store keeps them as item lists instead, and scoring adds their share
 exactly: pairs that can still reach the wanted count and lift are looked up in the heavy lists, and pairs that occur in heavy baskets only are found with a
 prefix filter: two items that share k of the baskets share one of the first |H| - k + 1 of either list in any fixed order.
@@ -11,6 +16,9 @@ prefix filter: two items that share k of the baskets share one of the first |H|
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,16 +47,66 @@ def _pairs_of(members: str) -> Column:
 class PairStore:
     """Persistent counts of baskets, items and pairs per period.
 
-    heavy: baskets of more items keep lists rather than pairs; it bounds the pairs a basket emits, not the result. buckets: hash buckets of each period.
+    path: the store's folder; a store that is there already is opened, with the settings it was made with. heavy: baskets of more items keep lists rather than
+    pairs; it bounds the pairs a basket emits, not the result. buckets: hash buckets of each period.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 8, heavy: int = 100) -> None:
         if buckets < 1 or heavy < 1:
             raise ValueError("buckets and heavy must be positive")
-        self.spark, self.path, self.buckets, self.heavy = spark, path or new_path(spark, "pairs"), buckets, heavy
-        #: Of each table: the version in which a (period, bucket) was last written.
-        self.manifest: dict[str, dict[tuple[str, int], int]] = {t: {} for t in _TABLES}
+        self.spark, self.path, self.buckets, self.heavy = spark, (path or new_path(spark, "pairs")).rstrip("/"), buckets, heavy
+        #: Of each table: the folder that holds a (period, bucket).
+        self.manifest: dict[str, dict[tuple[str, int], str]] = {t: {} for t in _TABLES}
         self.version = 0
+        self.refresh()
+
+    # The folder
+
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def refresh(self) -> None:
+        """Takes up the newest version, which another object or application may have written."""
+        found, fs = self._fs(f"{self.path}/manifest")
+        newest = max((int(x.getPath().getName()[:-5]) for x in fs.listStatus(found) if x.getPath().getName().endswith(".json")), default=0) if fs.exists(found) else 0
+        if newest == self.version:
+            return
+        text = self.spark.read.text(f"{self.path}/manifest/{newest:012d}.json", wholetext=True).first()[0]
+        kept = json.loads(text)
+        self.version, self.buckets, self.heavy = newest, kept["buckets"], kept["heavy"]
+        self.manifest = {t: {(p, b): folder for folder, keys in kept["tables"][t].items() for p, b in keys} for t in _TABLES}
+
+    def _commit(self, manifest: dict[str, dict[tuple[str, int], str]]) -> None:
+        tables: dict[str, dict[str, list]] = {t: {} for t in _TABLES}
+        for t, keys in manifest.items():
+            for key, folder in sorted(keys.items()):
+                tables[t].setdefault(folder, []).append(key)
+        draft, fs = self._fs(f"{self.path}/manifest/.{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(json.dumps({"buckets": self.buckets, "heavy": self.heavy, "tables": tables}).encode())
+        out.close()
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+        options[0] = jvm.Options.Rename.NONE
+        place = jvm.Path(f"{self.path}/manifest/{self.version + 1:012d}.json")
+        try:
+            jvm.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, place, options)
+        except Exception as e:
+            fs.delete(draft, False)
+            raise RuntimeError(f"another batch was written to {self.path} meanwhile; apply this one again") from e
+        self.version += 1
+        self.manifest = manifest
+
+    def vacuum(self) -> None:
+        """Deletes what the newest version doesn't use. Not while other objects read older versions or write."""
+        self.refresh()
+        for t in _TABLES:
+            used = set(self.manifest[t].values())
+            p, fs = self._fs(f"{self.path}/{t}")
+            for x in fs.listStatus(p) if fs.exists(p) else []:
+                if x.getPath().getName() not in used:
+                    fs.delete(x.getPath(), True)
 
     def table(self, name: str, periods: list[str] | None = None, buckets: set[tuple[str, int]] | None = None) -> DataFrame:
         """Current rows, of the given periods or (period, bucket) only."""
@@ -56,29 +114,29 @@ class PairStore:
         schema = T.StructType.fromDDL(_TABLES[name])
         if not keys:
             return self.spark.createDataFrame([], schema)
-        versions: dict[int, list[tuple[str, int]]] = {}
+        folders: dict[str, list[tuple[str, int]]] = {}
         for k in keys:
-            versions.setdefault(self.manifest[name][k], []).append(k)
+            folders.setdefault(self.manifest[name][k], []).append(k)
         out = None
-        for v, own in versions.items():
-            root = f"{self.path}/{name}/v{v}"
+        for folder, own in folders.items():
+            root = f"{self.path}/{name}/{folder}"
             df = self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/period={p}/bucket={b}" for p, b in own])
             out = df if out is None else out.unionByName(df)
         return out
 
-    def _write(self, name: str, rows: DataFrame) -> None:
-        root = f"{self.path}/{name}/v{self.version}"
-        rows.select(*T.StructType.fromDDL(_TABLES[name]).fieldNames()).hint("rebalance", "period", "bucket").write.mode("overwrite").partitionBy("period", "bucket").parquet(root)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(root)
-        found = fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/period=*/bucket=*"))
-        for x in found:
+    def _write(self, name: str, rows: DataFrame, manifest: dict) -> None:
+        folder = f"v{self.version + 1}-{uuid.uuid4().hex[:12]}"
+        root = f"{self.path}/{name}/{folder}"
+        rows.select(*T.StructType.fromDDL(_TABLES[name]).fieldNames()).hint("rebalance", "period", "bucket").write.partitionBy("period", "bucket").parquet(root)
+        glob, fs = self._fs(f"{root}/period=*/bucket=*")
+        for x in fs.globStatus(glob):
             p = x.getPath()
-            self.manifest[name][p.getParent().getName()[len("period=") :], int(p.getName()[len("bucket=") :])] = self.version
+            manifest[name][p.getParent().getName()[len("period=") :], int(p.getName()[len("bucket=") :])] = folder
 
     def _bucket(self, *cols: str) -> Column:
         return F.pmod(F.hash(*cols), F.lit(self.buckets)).cast("int")
 
-    def _merge_counts(self, name: str, keys: list[str], deltas: DataFrame) -> None:
+    def _merge_counts(self, name: str, keys: list[str], deltas: DataFrame, manifest: dict) -> None:
         """Adds signed deltas to the buckets they fall into; counts that reach 0 go."""
         hit: set[tuple[str, int]] = set()
         if self.manifest[name]:
@@ -87,16 +145,17 @@ class PairStore:
         if hit:
             merged = self.table(name, buckets=hit).unionByName(deltas).groupBy("period", "bucket", *keys).agg(F.sum("n").alias("n"))
         for k in hit:
-            del self.manifest[name][k]
-        self._write(name, merged.filter("n > 0"))
+            del manifest[name][k]
+        self._write(name, merged.filter("n > 0"), manifest)
 
     def apply(self, changes: DataFrame) -> list[str]:
         """Takes in a batch: rows period, basket, item, op, where op is 1 (the item is put into the basket) or -1 (taken out). Returns the periods that changed.
 
         Ops on the same item of a basket add up, and their sign counts; putting in what is there, or taking out what isn't, changes nothing. Rows with a null
-        are left out, further columns ignored. period must be usable as a folder name.
+        are left out, further columns ignored. period must be usable as a folder name. The batch counts as a whole or, if it fails, not at all.
         """
-        self.version += 1
+        self.refresh()
+        manifest = {t: dict(keys) for t, keys in self.manifest.items()}
         ops = (
             changes.select("period", "basket", "item", "op").dropna().groupBy("period", "basket", "item").agg(F.sum("op").alias("op")).filter("op != 0")
         )
@@ -128,9 +187,9 @@ class PairStore:
         period_deltas = sizes.groupBy("period").agg(F.sum((F.col("n_now") > 0).cast("int") - (F.col("n_was") > 0).cast("int")).cast("bigint").alias("n"))
         if old is not None:  # read again when the counts merge
             pair_deltas = materialize(pair_deltas, "pair-deltas")
-        self._merge_counts("pairs", ["item_a", "item_b"], pair_deltas.withColumn("bucket", self._bucket("item_a", "item_b")))
-        self._merge_counts("items", ["item"], item_deltas.withColumn("bucket", self._bucket("item")))
-        self._merge_counts("periods", [], period_deltas.withColumn("bucket", F.lit(0)))
+        self._merge_counts("pairs", ["item_a", "item_b"], pair_deltas.withColumn("bucket", self._bucket("item_a", "item_b")), manifest)
+        self._merge_counts("items", ["item"], item_deltas.withColumn("bucket", self._bucket("item")), manifest)
+        self._merge_counts("periods", [], period_deltas.withColumn("bucket", F.lit(0)), manifest)
         for name, kept in (("baskets", touched.filter("now")), ("heavy", touched.filter(F.col("now") & (F.col("n_now") > h)))):
             rows = kept.select("basket", "item", "period", self._bucket("basket").alias("bucket"))
             if old is not None:
@@ -138,9 +197,11 @@ class PairStore:
                 if hit:
                     rows = self.table(name, buckets=hit).join(sizes.select("period", "basket"), ["period", "basket"], "left_anti").unionByName(rows)
                     for k in hit:
-                        del self.manifest[name][k]
-            self._write(name, rows)
-        return [r[0] for r in period_deltas.select("period").distinct().collect()]
+                        del manifest[name][k]
+            self._write(name, rows, manifest)
+        changed = [r[0] for r in period_deltas.select("period").distinct().collect()]
+        self._commit(manifest)
+        return changed
 
     def scores(self, periods: list[str] | None = None, min_count: int = 1, min_lift: int = 0) -> DataFrame:
         """period, item_a, item_b (item_a < item_b), baskets, n_a, n_b, n_ab and lift = n_ab * baskets / (n_a * n_b) of all pairs with n_ab >= min_count and lift >= min_lift.
@@ -169,10 +230,17 @@ class PairStore:
         known = known.withColumn("n_most", F.col("n_light") + F.least("h_a", "h_b")).filter(passes("n_most", "n_a", "n_b"))
         if has_heavy:
             known = materialize(known, "pair-candidates")
-            open_ = known.filter("h_a > 0 and h_b > 0").select("period", "item_a", "item_b")
-            a = heavy.select("period", F.col("item").alias("item_a"), "basket")
-            b = heavy.select("period", F.col("item").alias("item_b"), "basket")
-            shared = open_.join(a, ["period", "item_a"]).join(b, ["period", "item_b", "basket"]).groupBy("period", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_heavy"))
+            # The item in fewer heavy baskets leads and is looked up in chunks of BLOCK baskets, so an item that is in very many of them only answers, by (item, basket), and
+            # no task gets a whole list.
+            a_leads = F.col("h_a") <= F.col("h_b")
+            open_ = known.filter("h_a > 0 and h_b > 0").select(
+                "period", "item_a", "item_b", F.when(a_leads, F.col("item_a")).otherwise(F.col("item_b")).alias("lead"), F.when(a_leads, F.col("item_b")).otherwise(F.col("item_a")).alias("other"),
+                F.explode(F.sequence(F.lit(0), F.ceil(F.least("h_a", "h_b") / F.lit(BLOCK)).cast("int") - 1)).alias("chunk"),
+            )
+            listed = heavy.join(in_heavy, ["period", "item"])
+            chunks = listed.select("period", F.col("item").alias("lead"), F.pmod(F.xxhash64("basket"), F.ceil(F.col("h") / F.lit(BLOCK))).cast("int").alias("chunk"), "basket")
+            met = open_.join(chunks, ["period", "lead", "chunk"]).select("period", "item_a", "item_b", F.col("other").alias("item"), "basket")
+            shared = met.join(heavy, ["period", "item", "basket"], "left_semi").groupBy("period", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n_heavy"))
             known = known.join(shared, ["period", "item_a", "item_b"], "left").withColumn("n_ab", F.col("n_light") + F.coalesce("n_heavy", F.lit(0)))
         else:
             known = known.withColumn("n_ab", F.col("n_light"))
@@ -183,10 +251,15 @@ class PairStore:
     def _heavy_pairs(self, heavy: DataFrame, info: DataFrame, min_count: int, passes) -> DataFrame:
         """Pairs that may share min_count heavy baskets and pass, with n_light 0: the prefixes of their basket lists meet, in blocks of bounded size."""
         sizes = heavy.groupBy("period", "basket").agg(F.count(F.lit(1)).alias("size"))
-        # Small baskets first makes the lists that meet short.
-        place = F.row_number().over(Window.partitionBy("period", "item").orderBy("size", "basket"))
         listed = heavy.join(info.filter(F.col("h") >= min_count), ["period", "item"]).join(sizes, ["period", "basket"])
-        prefix = listed.withColumn("place", place).filter(F.col("place") <= F.col("h") - min_count + 1).select("period", "basket", "item", "n", "h", "baskets")
+        if min_count > 1:
+            # All but the first |H| - min_count + 1 are the last min_count - 1, and so few of an item are found within each task first. Large baskets last makes the lists that
+            # meet short.
+            place = F.row_number().over(Window.partitionBy("period", "item").orderBy(F.desc("size"), F.desc("basket")))
+            listed = materialize(listed, "heavy-lists")
+            last = listed.select("period", "item", "basket", "size").withColumn("place", place).filter(F.col("place") <= min_count - 1).select("period", "item", "basket")
+            listed = listed.join(last, ["period", "item", "basket"], "left_anti")
+        prefix = listed.select("period", "basket", "item", "n", "h", "baskets")
         prefix = materialize(prefix, "heavy-prefixes")
         blocks = prefix.groupBy("period", "basket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
         cut = prefix.join(blocks, ["period", "basket"])

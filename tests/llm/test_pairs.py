@@ -70,3 +70,37 @@ def test_edges(spark):
         store.scores(min_count=0)
     with pytest.raises(ValueError):
         PairStore(spark, buckets=0)
+
+
+def test_a_store_is_opened_again(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    first = {("p", f"b{k % 9}", f"i{k % 7}") for k in range(60)}
+    PairStore(spark, path, buckets=2, heavy=3).apply(frame(spark, [(*m, 1) for m in first]))
+    other = PairStore(spark, path)
+    assert (other.buckets, other.heavy) == (2, 3) and scored(other, 1, 0) == brute(first, 1, 0)
+    more, gone = {("p", "b1", "i9"), ("q", "b1", "i2"), ("q", "b1", "i3")}, {("p", "b2", "i2")}
+    reader = PairStore(spark, path)
+    assert other.apply(frame(spark, [(*m, 1) for m in more] + [(*m, -1) for m in gone])) != []
+    assert scored(reader, 1, 0) == brute(first, 1, 0)  # an older version stays readable
+    reader.refresh()
+    now = (first | more) - gone
+    assert scored(reader, 1, 0) == scored(other, 1, 0) == brute(now, 1, 0)
+    other.vacuum()
+    assert scored(PairStore(spark, path), 1, 0) == brute(now, 1, 0)
+
+
+def test_a_second_writer_and_a_failed_batch_do_no_harm(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    first = {("p", "b1", "i1"), ("p", "b1", "i2")}
+    store = PairStore(spark, path)
+    store.apply(frame(spark, [(*m, 1) for m in first]))
+    late = PairStore(spark, path)
+    store.apply(frame(spark, [("p", "b2", "i1", 1)]))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(late, "refresh", lambda: None)  # it began before the other's batch was there
+        late.apply(frame(spark, [("p", "b3", "i1", 1)]))
+    now = first | {("p", "b2", "i1")}
+    assert scored(PairStore(spark, path), 1, 0) == brute(now, 1, 0)
+    late.refresh()
+    late.apply(frame(spark, [("p", "b3", "i1", 1)]))
+    assert scored(late, 1, 0) == brute(now | {("p", "b3", "i1")}, 1, 0)
