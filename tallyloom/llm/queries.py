@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.time import day_number, day_text, week_start
@@ -14,37 +14,60 @@ from tallyloom.plans.sqltext import DAY, VALID
 from tallyloom.plans.tables import table, valid
 from tallyloom.session import materialize
 
-#: Distinct users: within 1 % (three standard errors) up to ten million of them.
-P2_MOST, P2_ERROR = 10_000_000, 0.01
-P2_BITS = distinct.bitmap_bits(P2_MOST, P2_ERROR)
+#: Distinct users: within 1 % at five standard errors.
+P2_ERROR, P2_SIGMAS = 0.01, 5.0
 P2_GROUPS = ["event_day", "category", "behavior"]
 
 
-def _user_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Repeated rows set the same bit again, so they needn't be removed first.
-    rows = valid_rows(table(spark, sf_dir, "user_behavior_log")).select(day_number(F.col("ts")).alias("day"), "category", "behavior", "user_id")
-    found = distinct.bitmaps(rows, ["day", "category", "behavior"], "user_id", P2_BITS, distinct.md5_hash)
-    return found.select(day_text(F.col("day")).alias("event_day"), "day", "category", "behavior", distinct.WORD_NO, distinct.WORD_BITS)
+    return valid_rows(table(spark, sf_dir, "user_behavior_log")).select(day_number(F.col("ts")).alias("day"), "category", "behavior", "user_id")
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("estimate", F.round("estimate", 4)).withColumn("error_bound", F.round("error_bound", 4))
+def _user_bitmaps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    # Spellings of one id count apart here, which only makes the bitmaps a little larger, and a single column is read.
+    bits = distinct.sized_bits(table(spark, sf_dir, "user_behavior_log"), "userId", P2_ERROR, P2_SIGMAS)
+    found = distinct.bitmaps(_users(spark, sf_dir), ["day", "category", "behavior"], "user_id", bits)
+    return found.select(day_text(F.col("day")).alias("event_day"), "day", "category", "behavior", distinct.WORD_NO, distinct.WORD_BITS), bits
 
 
 def p2_distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct users per day, category and behavior and every combination of them, merged level by level from one set of partial results."""
-    partials = materialize(_user_bitmaps(spark, sf_dir).drop("day"), "user-bitmaps")
-    return _rounded(distinct.cube_estimates(partials, P2_GROUPS, P2_BITS))
+    partials, bits = _user_bitmaps(spark, sf_dir)
+    found = distinct.cube_estimates(materialize(partials.drop("day"), "user-bitmaps"), P2_GROUPS, bits, P2_SIGMAS)
+    return found.withColumn("estimate", F.round("estimate", 4)).withColumn("error_bound", F.round("error_bound", 4))
+
+
+def _within() -> Column:
+    # An estimate of a few users can be one off where two of them share a bit.
+    return (F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.col("error_bound"), F.lit(1.0))).alias("within_bound")
+
+
+def p2_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True numbers of distinct users of every combination, and whether p2_distinct_users is within its bound of each."""
+    named = materialize(_users(spark, sf_dir).distinct().select(day_text(F.col("day")).alias("event_day"), "category", "behavior", "user_id"), "group-users")
+    levels = None
+    for mask in range(8):
+        kept = [g for i, g in enumerate(P2_GROUPS) if mask >> i & 1]
+        part = named.groupBy(*kept).agg(F.countDistinct("user_id").alias("users")).filter("users > 0")
+        part = part.select(F.lit("+".join(kept)).alias("level"), *[F.col(g) if g in kept else F.lit(None).cast("string").alias(g) for g in P2_GROUPS], "users")
+        levels = part if levels is None else levels.unionByName(part)
+    same = F.lit(True)
+    for c in ("level", *P2_GROUPS):
+        same = same & F.col(f"t.{c}").eqNullSafe(F.col(f"e.{c}"))
+    both = levels.alias("t").join(p2_distinct_users(spark, sf_dir).alias("e"), same, "full")
+    return both.select(*[F.coalesce(f"t.{c}", f"e.{c}").alias(c) for c in ("level", *P2_GROUPS)], "users", _within())
 
 
 def p2_trailing_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct users of each behavior over unions of days: the three days that end with each day, from partial results per day."""
-    daily = materialize(distinct.merge(_user_bitmaps(spark, sf_dir), ["day", "behavior"]), "daily-bitmaps")
-    spread = daily.withColumn("day", F.explode(F.array(*[F.col("day") + i for i in range(3)])))
-    days = daily.select("day").distinct()
-    merged = distinct.merge(spread.join(days, "day", "left_semi"), ["day", "behavior"])
-    found = distinct.estimate(merged, ["day", "behavior"], P2_BITS)
-    return _rounded(found.select(day_text(F.col("day")).alias("last_day"), "behavior", "bits_set", "estimate", "error_bound"))
+    """Distinct users of each behavior over unions of days: the three days that end with each day, from partial results per day; the true number, and whether the estimate is within its
+    bound of it."""
+    partials, bits = _user_bitmaps(spark, sf_dir)
+    daily = materialize(distinct.merge(partials, ["day", "behavior"]), "daily-bitmaps")
+    ends = lambda df: df.withColumn("day", F.explode(F.array(*[F.col("day") + i for i in range(3)]))).join(daily.select("day").distinct(), "day", "left_semi")
+    found = distinct.estimate(distinct.merge(ends(daily), ["day", "behavior"]), ["day", "behavior"], bits, P2_SIGMAS)
+    true = ends(_users(spark, sf_dir).select("day", "behavior", "user_id").distinct()).groupBy("day", "behavior").agg(F.countDistinct("user_id").alias("users"))
+    return found.join(true, ["day", "behavior"], "full").select(day_text(F.col("day")).alias("last_day"), "behavior", "users", _within())
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,20 +163,10 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p2_distinct_users, p2_trailing_users, p3_found, p3_best_items, p5_found, p5_category_pairs, p5_incremental, p6_containers, p7_found, p7_passages, p8_found, p8_redacted)
+        for f in (p2_distinct_users, p2_checked, p2_trailing_users, p3_found, p3_best_items, p5_found, p5_category_pairs, p5_incremental, p6_containers, p7_found, p7_passages, p8_found, p8_redacted)
     }
 
 
-def _p2_places() -> str:
-    return f"""places AS (SELECT ts // 86400 AS day, {DAY.format('ts // 86400')} AS event_day, category, behavior, CAST('0x' || substr(md5(user_id), 1, 15) AS BIGINT) % {P2_BITS} AS place FROM valid)"""
-
-
-def _p2_estimate(groups: str) -> str:
-    m = float(P2_BITS)
-    return f"""SELECT {groups}, bits_set, round(n, 4) AS estimate, round(3 * sqrt(greatest(0.0, {m} * (exp(n / {m}) - n / {m} - 1.0))), 4) AS error_bound
- FROM (SELECT *, -{m} * ln(({m} - bits_set) / {m}) AS n FROM counted)"""
-
-
 def _pairs_sql(item: str, names: tuple[str, str], where: str, columns: str) -> str:
     a, b = names
     return f"""WITH {VALID},
@@ -173,12 +186,10 @@ def oracle_sql() -> dict[str, str]:
     sets = ", ".join("(" + ", ".join(g for i, g in enumerate(levels) if mask >> i & 1) + ")" for mask in range(8))
     level = "concat_ws('+', " + ", ".join(f"CASE WHEN grouping({g}) = 0 THEN '{g}' END" for g in levels) + ")"
     return {
-        "p2_distinct_users": f"""WITH {VALID}, {_p2_places()},
- counted AS (SELECT {level} AS level, event_day, category, behavior, count(DISTINCT place) AS bits_set FROM places GROUP BY GROUPING SETS ({sets}) HAVING count(*) > 0)
- {_p2_estimate('level, event_day, category, behavior')}""",
-        "p2_trailing_users": f"""WITH {VALID}, {_p2_places()}, days AS (SELECT DISTINCT day FROM places),
- counted AS (SELECT {DAY.format('d.day')} AS last_day, behavior, count(DISTINCT place) AS bits_set FROM days d JOIN places p ON p.day BETWEEN d.day - 2 AND d.day GROUP BY d.day, behavior)
- {_p2_estimate('last_day, behavior')}""",
+        "p2_checked": f"""WITH {VALID}, users AS (SELECT {DAY.format('ts // 86400')} AS event_day, category, behavior, user_id FROM valid)
+ SELECT {level} AS level, event_day, category, behavior, count(DISTINCT user_id) AS users, TRUE AS within_bound FROM users GROUP BY GROUPING SETS ({sets}) HAVING count(*) > 0""",
+        "p2_trailing_users": f"""WITH {VALID}, users AS (SELECT DISTINCT ts // 86400 AS day, behavior, user_id FROM valid), days AS (SELECT DISTINCT day FROM users)
+ SELECT {DAY.format('d.day')} AS last_day, behavior, count(DISTINCT user_id) AS users, TRUE AS within_bound FROM days d JOIN users u ON u.day BETWEEN d.day - 2 AND d.day GROUP BY d.day, behavior""",
         "p3_found": f"{best} SELECT event_day, category, item_id FROM ranked WHERE rank <= 10",
         "p3_best_items": f"{best} SELECT event_day, category, item_id, purchases, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
         "p5_found": _pairs_sql("item_id", ("item_a", "item_b"), "WHERE n_ab >= 5 AND n_ab * w.baskets >= 10 * i.n * j.n", ""),

@@ -41,3 +41,16 @@ def test_sizes_and_edges(spark):
     full = distinct.bitmaps(frame(spark, [("d", "a", f"u{i}") for i in range(3000)]), ["day"], "user", 64)
     row = distinct.estimate(full, ["day"], 64).first()
     assert row["bits_set"] == 64 and row["estimate"] is None and row["error_bound"] is None
+
+
+def test_size_follows_the_rows(spark):
+    """Sized for a hundredth of the identifiers that come, a bitmap is full and tells nothing; sized from the rows it is within its bound."""
+    many = spark.range(300_000).selectExpr("concat('u', id) as user", "concat('d', id % 3) as day")
+    small = distinct.bitmap_bits(3000, 0.05)
+    assert distinct.estimate(distinct.bitmaps(many, [], "user", small), [], small).first()["estimate"] is None
+    bits = distinct.sized_bits(many, "user", 0.05, 5.0)
+    for row in distinct.cube_estimates(distinct.bitmaps(many, ["day"], "user", bits), ["day"], bits, 5.0).collect():
+        true = 100_000 if row["day"] else 300_000
+        assert abs(row["estimate"] - true) <= row["error_bound"] <= 0.05 * true
+    assert distinct.bitmap_bits(40_000_000, 0.01) > distinct.bitmap_bits(10_000_000, 0.01)
+    assert distinct.sized_bits(many.limit(0), "user", 0.05) >= 64

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tallyloom.llm.topn import top_n
+from tallyloom.llm.topn import band_borders, top_n
 
 
 def frame(spark, data):
@@ -32,3 +32,22 @@ def test_edges(spark):
     assert [r["item"] for r in top_n(odd, ["g"], "item", "score", 3).orderBy("rank").collect()] == ["b", "e", "d"]
     twice = top_n(frame(spark, [("g", 1, "a", 3), ("g", 1, "a", 3), ("g", 1, "b", 1)]), ["g"], "item", "score", 2)
     assert [tuple(x) for x in twice.orderBy("rank").collect()] == [("g", "a", 3, 1), ("g", "a", 3, 2)]
+
+
+def test_any_scores_have_several_bands_and_filled_groups_leave_before_ranking(spark, monkeypatch):
+    from tallyloom.llm import topn
+
+    r = random.Random(5)
+    data = [(f"g{k % 7}", f"i{k}", r.random() - (k % 3 == 0)) for k in range(2000)]
+    df = spark.createDataFrame(data, "g string, item string, score double")
+    assert len(band_borders(df, "score")) >= 5
+    assert len(band_borders(df.filter("score > 0"), "score")) >= 5
+    assert band_borders(df.selectExpr("1 as score"), "score") == [1.0]
+    plans = []
+    kept = topn.materialize
+    monkeypatch.setattr(topn, "materialize", lambda d, name, *a: (plans.append((name, d._jdf.queryExecution().optimizedPlan().toString())), kept(d, name, *a))[1])
+    found = top_n(df, ["g"], "item", "score", 4)
+    want = [(g, i, s, k) for x in range(7) for k, (g, i, s) in enumerate(sorted((d for d in data if d[0] == f"g{x}"), key=lambda d: (-d[2], d[1]))[:4], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    lower = [p for name, p in plans if name.startswith("band-")][1:]
+    assert len(lower) >= 5 and all("LeftAnti" in p and p.index("Window [") < p.index("LeftAnti") for p in lower)
