@@ -2,8 +2,10 @@
 
 Only the histogram of sizes, at most ``capacity`` numbers, decides which sizes share a container; it alone reaches the driver. The configuration linear program over
 it (cover the count of every size with as few configurations as possible) is solved by multiplicative weights: each size has a price that falls exponentially
-with the share of it that is covered, the configuration of the greatest price is found by dynamic programming for the knapsack, and taken in part. The
-fractional solution is rounded down; what remains is packed around its largest sizes, by the same dynamic program with the sizes as prices. Every item then finds its container by
+with the share of it that is covered, the configuration of the greatest price is found by dynamic programming for the knapsack, and taken in part. Prices divided by the value of
+their best configuration are a solution of the dual program, so every round also bounds from below how many containers any packing needs. The
+fractional solution is rounded down; what remains is packed around its largest sizes, each container as full as sums of the sizes left can make it. Rounds go on until the
+result is proven to be within a gap of the bound, or the program is solved. Every item then finds its container by
 its rank among the items of its size, computed in salted shards.
 """
 
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from tallyloom.session import materialize, ship_package, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Cells of the dynamic program; a larger capacity is counted in units of several, and sizes rounded up to them.
+CELLS = 1 << 14
 _loaded: dict[str, object] = {}
 
 
@@ -52,7 +56,11 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tok
 
 
 def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Index of a size to its number in the configuration of the greatest total price, by dynamic programming over the capacity; at most most[i] of size i."""
+    """Index of a size to its number in the configuration of the greatest total price, by dynamic programming over the capacity; at most most[i] of size i. Above CELLS the
+    capacity is counted in units, so the configuration fits but may not be the best."""
+    if capacity > CELLS:
+        unit = -(-capacity // CELLS)
+        sizes, capacity = -(-sizes // unit), capacity // unit
     keep = np.flatnonzero((most > 0) & (prices > 0) & (sizes <= capacity))
     order = keep[np.lexsort((-prices[keep], sizes[keep]))]
     value = np.zeros(capacity + 1)
@@ -87,55 +95,105 @@ def best_configuration(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray,
     return found
 
 
-def plan_containers(histogram: dict[int, int], capacity: int, rounds: int = 1000, rate: float = 8.0, part: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """Configurations (size to number) and how many containers have each, that together hold the histogram exactly.
+def fullest(sizes: np.ndarray, most: np.ndarray, room: int) -> dict[int, int]:
+    """Index of a size to its number in the configuration that fills a room best, at most most[i] of size i: the sums that can be reached are the bits of one whole number, and
+    larger sizes go first."""
+    reached, steps = 1, []
+    mask = (1 << (room + 1)) - 1
+    for i in np.flatnonzero((most > 0) & (sizes <= room))[::-1].tolist():
+        s = int(sizes[i])
+        n, k = min(int(most[i]), room // s), 1
+        while n > 0:  # 1, 2, 4, ... of it at a time
+            k = min(k, n)
+            more = (reached | reached << k * s) & mask
+            if more != reached:
+                steps.append((i, k, reached))
+                reached = more
+            n -= k
+            k *= 2
+        if reached >> room:
+            break
+    at = reached.bit_length() - 1
+    found: dict[int, int] = {}
+    for i, k, before in reversed(steps):
+        if not before >> at & 1:
+            found[i] = found.get(i, 0) + k
+            at -= k * int(sizes[i])
+    return found
 
-    rounds, rate and part: steps of the multiplicative weights, how fast a price falls, and which part of the largest possible amount a step takes.
+
+def solve(histogram: dict[int, int], capacity: int, gap: float = 0.001, rate: float = 8.0, part: float = 0.5, batch: int = 50) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations (size to number) and how many containers have each, that together hold the histogram exactly, and a number of containers that every packing needs at least.
+
+    gap: share by which the result may exceed that number; within one container is always good enough. Where no rounds of the program bring it there, the best of all rounds
+    counts. rate and part: how fast a price falls, and which part of the largest possible amount a round takes. batch: rounds before the first test, twice as many before each further one.
     """
     sizes = np.array(sorted(s for s, n in histogram.items() if s > 0 and n > 0), np.int64)
-    left = np.array([histogram[int(s)] for s in sizes], np.int64)
-    if len(sizes) and sizes[-1] > capacity:
+    count = np.array([histogram[int(s)] for s in sizes], np.int64)
+    if not len(sizes):
+        return [], 0
+    if sizes[-1] > capacity:
         raise ValueError("a size exceeds the capacity")
-    plan: dict[tuple, int] = {}
-
-    def take(config: dict[int, int], copies: int) -> None:
-        nonlocal left
-        for i, k in config.items():
-            left[i] -= k * copies
-        key = tuple(sorted((int(sizes[i]), k) for i, k in config.items()))
-        plan[key] = plan.get(key, 0) + copies
-
-    if len(sizes):
-        need = left.astype(float)
-        covered = np.zeros(len(sizes))
-        parts: list[tuple[dict[int, int], float]] = []
-        for _ in range(rounds):
+    bound = -(-sum(int(s) * int(n) for s, n in zip(sizes, count)) // capacity)
+    need = count.astype(float)
+    covered = np.zeros(len(sizes))
+    parts: list[tuple[dict[int, int], float]] = []
+    best: list[tuple[dict[int, int], int]] | None = None
+    while True:
+        for _ in range(batch):
             open_ = covered < 1 - 1e-9
             if not open_.any():
                 break
             prices = np.where(open_, sizes / capacity * np.exp(-rate * covered), 0)
-            config = best_configuration(sizes, prices, left * open_, capacity)
+            # A size that fills the capacity may round up beyond it; it goes alone.
+            config = best_configuration(sizes, prices, count * open_, capacity) or {int(np.flatnonzero(open_)[-1]): 1}
+            if capacity <= CELLS:
+                # The number of copies is bounded in a configuration as it is in the histogram, which the covering program may ask for as well.
+                value = sum(prices[i] * k for i, k in config.items())
+                bound = max(bound, int(np.ceil(float(need @ prices) / value * (1 - 1e-9))))
             most = min((1 - covered[i]) * need[i] / k for i, k in config.items())
             amount = most if most < 1 else max(1.0, most * part)
             for i, k in config.items():
                 covered[i] += amount * k / need[i]
             parts.append((config, amount))
-        for config, amount in parts:
-            copies = min(int(amount + 1e-9), *(int(left[i]) // k for i, k in config.items()))
-            if copies > 0:
-                take(config, copies)
+        plan = _rounded(sizes, count, parts, capacity)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+        used = sum(n for _, n in best)
+        if used <= bound + 1 or used <= (1 + gap) * bound or not (covered < 1 - 1e-9).any():
+            return best, bound
+        batch *= 2
+
+
+def _rounded(sizes: np.ndarray, count: np.ndarray, parts: list[tuple[dict[int, int], float]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The fractional solution rounded down, and containers for what it leaves."""
+    left = count.copy()
+    plan: dict[tuple, int] = {}
+
+    def take(config: dict[int, int], copies: int) -> None:
+        for i, k in config.items():
+            left[i] -= k * copies
+        key = tuple(sorted((int(sizes[i]), k) for i, k in config.items()))
+        plan[key] = plan.get(key, 0) + copies
+
+    for config, amount in parts:
+        copies = min(int(amount + 1e-9), *(int(left[i]) // k for i, k in config.items()))
+        if copies > 0:
+            take(config, copies)
     while left.any():
         # The largest size left is the hardest to place, so it goes first and the rest of its container is filled as well as can be.
         top = int(np.flatnonzero(left)[-1])
         others = left.copy()
         others[top] -= 1
-        config = best_configuration(sizes, sizes.astype(float), others, capacity - int(sizes[top]))
+        config = fullest(sizes, others, capacity - int(sizes[top]))
         config[top] = config.get(top, 0) + 1
         take(config, min(int(left[i]) // k for i, k in config.items()))
     return [(dict(key), n) for key, n in sorted(plan.items(), key=lambda x: (-sum(s * k for s, k in x[0]), x[0]))]
 
 
-_KEY = 1 << 44
+def plan_containers(histogram: dict[int, int], capacity: int, **options) -> list[tuple[dict[int, int], int]]:
+    """The plan of solve."""
+    return solve(histogram, capacity, **options)[0]
 
 
 class _Places:
@@ -149,7 +207,7 @@ class _Places:
             place = offset = 0
             for s in sorted(config, reverse=True):
                 k = config[s]
-                rows.append((s * _KEY + used.get(s, 0), used.get(s, 0), first, k, place, offset, s))
+                rows.append((s, used.get(s, 0), first, k, place, offset))
                 used[s] = used.get(s, 0) + k * copies
                 place += k
                 offset += k * s
@@ -157,13 +215,18 @@ class _Places:
             self.counts.append(place)
             first += copies
         self.containers = first
-        self.rows = np.array(sorted(rows) or [(0,) * 7], np.int64)
+        self.rows = np.array(sorted(rows) or [(0,) * 6], np.int64)
+        # Items are numbered through, smaller sizes first.
+        self.sizes = np.array(sorted(used) or [0], np.int64)
+        self.before = np.concatenate([[0], np.cumsum([used[s] for s in sorted(used)])]).astype(np.int64)
+        self.keys = self.before[np.searchsorted(self.sizes, self.rows[:, 0])] + self.rows[:, 1]
 
     def find(self, size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r = self.rows[np.maximum(np.searchsorted(self.rows[:, 0], size * _KEY + rank, side="right") - 1, 0)]
+        number = self.before[np.minimum(np.searchsorted(self.sizes, size), len(self.sizes) - 1)] + rank
+        r = self.rows[np.maximum(np.searchsorted(self.keys, number, side="right") - 1, 0)]
         q = rank - r[:, 1]
         k = np.maximum(r[:, 3], 1)
-        container, place, offset = r[:, 2] + q // k, r[:, 4] + q % k, r[:, 5] + q % k * r[:, 6]
+        container, place, offset = r[:, 2] + q // k, r[:, 4] + q % k, r[:, 5] + q % k * r[:, 0]
         empty = size == 0
         if empty.any():  # items without size go round all containers, behind the others
             n = max(1, self.containers)

@@ -140,6 +140,20 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, P6_CAPACITY)
 
 
+def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of p6_containers: documents placed, documents cut although they fit, containers that are too full or whose places have a gap, and whether at most a thousandth, or one, more
+    containers are in use than the tokens fill."""
+    placed = materialize(p6_containers(spark, sf_dir), "containers")
+    docs = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"))
+    by_doc = docs.agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("pieces") != F.greatest(F.ceil(F.col("n") / P6_CAPACITY), F.lit(1))).cast("bigint")).alias("wrongly_cut"))
+    full = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("items"), F.countDistinct("place").alias("places"), F.max("place").alias("last"))
+    by_container = full.agg(
+        F.sum((F.col("n") > P6_CAPACITY).cast("bigint")).alias("overfull"), F.sum(((F.col("places") != F.col("items")) | (F.col("last") != F.col("items") - 1)).cast("bigint")).alias("with_gaps"),
+        (F.count(F.lit(1)) <= F.greatest(F.ceil(F.sum("n") / P6_CAPACITY) + 1, F.ceil(F.sum("n") / P6_CAPACITY * 1.001))).alias("near_bound"),
+    )
+    return by_doc.join(F.broadcast(by_container), F.lit(True))  # one row each
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry text of evaluation items."""
     return p7_passages(spark, sf_dir).select("doc_id", "eval_id")
@@ -163,7 +177,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (p2_distinct_users, p2_checked, p2_trailing_users, p3_found, p3_best_items, p5_found, p5_category_pairs, p5_incremental, p6_containers, p7_found, p7_passages, p8_found, p8_redacted)
+        for f in (p2_distinct_users, p2_checked, p2_trailing_users, p3_found, p3_best_items, p5_found, p5_category_pairs, p5_incremental, p6_containers, p6_summary, p7_found, p7_passages, p8_found, p8_redacted)
     }
 
 
@@ -194,5 +208,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_best_items": f"{best} SELECT event_day, category, item_id, purchases, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
         "p5_found": _pairs_sql("item_id", ("item_a", "item_b"), "WHERE n_ab >= 5 AND n_ab * w.baskets >= 10 * i.n * j.n", ""),
         "p5_category_pairs": _pairs_sql("category", ("category_a", "category_b"), "", scored),
+        "p6_summary": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS wrongly_cut, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS with_gaps, TRUE AS near_bound FROM documents",
         "p5_incremental": _pairs_sql("item_id", ("item_a", "item_b"), "WHERE n_ab >= 2 AND n_ab * w.baskets >= 2 * i.n * j.n", scored),
     }

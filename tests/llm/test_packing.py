@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from tallyloom.llm.packing import best_configuration, pack, plan_containers, token_sizes
+from tallyloom.llm.packing import best_configuration, fullest, pack, plan_containers, solve, token_sizes
 
 
 def check(found, sizes, capacity):
@@ -87,3 +88,35 @@ def test_token_sizes(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (4, "<|endoftext|>"), (5, "a" * 300_000), (6, " " * 100_000)], "doc_id bigint, text string")
     found = {r["doc_id"]: r["n_tokens"] for r in token_sizes(df).collect()}
     assert (found[1], found[2], found[3]) == (0, 0, 2) and found[4] > 1 and found[5] > 1000 and len(found) == 6
+
+
+def test_fullest_against_enumeration():
+    from itertools import product
+
+    r = random.Random(4)
+    for _ in range(60):
+        sizes = np.array(sorted(r.sample(range(1, 30), 4)), np.int64)
+        most = np.array([r.randrange(4) for _ in range(4)], np.int64)
+        room = r.randrange(60)
+        found = fullest(sizes, most, room)
+        assert all(0 < k <= most[i] for i, k in found.items())
+        sums = [sum(k * int(s) for k, s in zip(ks, sizes)) for ks in product(*(range(m + 1) for m in most))]
+        assert sum(k * int(sizes[i]) for i, k in found.items()) == max(x for x in sums if x <= room)
+
+
+def test_bound_of_the_dual_program():
+    """Where volume tells little, the prices do: seven items of three fifths need a container each."""
+    plan, bound = solve({6: 7}, 10)
+    assert (sum(n for _, n in plan), bound) == (7, 7)
+    plan, bound = solve({6: 400, 4: 100, 5: 51}, 10)
+    used = sum(n for _, n in plan)
+    assert used == 426 and bound >= 0.98 * used
+    assert solve({}, 10) == ([], 0)
+
+
+def test_large_capacity(spark):
+    r = random.Random(8)
+    sizes = {i: r.randrange(1, 2_500_000) for i in range(300)} | {301: 1_000_000, 302: 1_000_001}
+    found = pack(spark.createDataFrame(list(sizes.items()), "doc_id bigint, n_tokens bigint"), 1_000_000).collect()
+    used = check(found, sizes, 1_000_000)
+    assert used <= 1.02 * sum(sizes.values()) / 1_000_000 + 1
