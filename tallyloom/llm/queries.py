@@ -156,11 +156,11 @@ def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry text of evaluation items."""
-    return p7_passages(spark, sf_dir).select("doc_id", "eval_id")
+    return p7_passages(spark, sf_dir).filter("nth = 0").select("doc_id", "eval_id")
 
 
 def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As p7_found, with the place of the longest passage, its words and edits."""
+    """Every passage of each item in each document, with its place, words and edits."""
     return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 

@@ -18,11 +18,11 @@ INVISIBLE = "­͏؜᠎​‌‍‎‏⁠⁡⁢⁣⁤︎️﻿"
 #: A UTF-8 letter read as Latin-1: two characters stand for one.
 _BROKEN = re.compile("[ÂÃ][\u0080-¿]")
 _MARK = "̀-ͯ"
-#: A word: letters, digits, marks and broken letters, also across invisible characters and a hyphen at a line's end; or a tag, an entity or the speaker that begins
+#: A word: a Chinese character, or letters, digits, marks and broken letters, also across invisible characters and a hyphen at a line's end; or a tag, an entity or the speaker that begins
 #: a line, which are layout and skipped.
 WORD = re.compile(
-    rf"(?m:^)[^\W\d_]{{2,12}}[:：](?=\s)|<[/!]?[A-Za-z][^<>\n]{{0,200}}>|&(?:#\d{{1,7}}|#x[0-9A-Fa-f]{{1,6}}|[A-Za-z]{{2,12}});"
-    rf"|(?:[ÂÃ][\u0080-\u00bf]|[^\W_]|[{_MARK}])(?:[ÂÃ][\u0080-\u00bf]|[^\W_]|[{_MARK}{INVISIBLE}]|['’](?=[^\W\d_])|-[ \t]*\r?\n[ \t>*]*(?=[^\W\d_A-Z]))*"
+    rf"(?m:^)[^\W\d_]{{2,12}}[:：](?=\s)|<[/!]?[A-Za-z][^<>\n]*>|&(?:#\d{{1,7}}|#x[0-9A-Fa-f]{{1,6}}|[A-Za-z]{{2,12}});"
+    rf"|[㐀-鿿]|(?:[ÂÃ][\u0080-\u00bf]|[^\W_㐀-鿿]|[{_MARK}])(?:[ÂÃ][\u0080-\u00bf]|[^\W_㐀-鿿]|[{_MARK}{INVISIBLE}]|['’](?=[^\W\d_])|-[ \t]*\r?\n[ \t>*]*(?=[^\W\d_A-Z]))*"
 )
 _DROP = re.compile(rf"[{_MARK}{INVISIBLE}'’\s>*-]+")
 

@@ -105,3 +105,73 @@ def test_slips_beside_edits(length, edits, slips):
 def test_words_longer_than_any_of_the_items():
     text = item(random.Random(2))
     assert Passages([(1, text)]).find("x" * 200_000 + " " + text)[0][0] == 1
+
+
+def brute(item_words, doc_words, least=12, per_edit=8):
+    """Whether some part of the item of least words or more, of which the first and the last are in the document, is within one edit in per_edit of some part of it: by the edit
+    distance of all pairs of parts."""
+    same = lambda a, b: a == b or near(a, b)
+    for a in range(len(item_words) - least + 1):
+        for d in range(len(doc_words)):
+            if not same(item_words[a], doc_words[d]):
+                continue
+            rest = doc_words[d + 1 :]
+            row = list(range(len(rest) + 1))
+            for i, w in enumerate(item_words[a + 1 :], 2):
+                new = [row[0] + 1]
+                for j, v in enumerate(rest, 1):
+                    if same(w, v) and i >= least and row[j - 1] * per_edit <= i:
+                        return True
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (not same(w, v))))
+                row = new
+    return False
+
+
+def test_against_edit_distance_with_slips_in_any_word():
+    r = random.Random(11)
+    agreed = 0
+    for _ in range(120):
+        text = item(r, 26)
+        own = text.split()
+        a, n = r.randrange(0, 8), r.randrange(9, 19)
+        part = list(own[a : a + n])
+        for _ in range(r.randrange(0, 4)):
+            x = r.randrange(len(part))
+            part[x : x + 1] = r.choice([["zzzz"], [], [part[x], "yyyy"]])
+        part = [slipped(w) if len(w) > 3 and r.random() < 0.4 else w for w in part]
+        doc = ["opening"] * 2 + part + ["closing"] * 2
+        keys = Words()(" ".join(doc))[0]
+        want = brute(Words()(text)[0], keys)
+        assert bool(Passages([(1, text)]).find(" ".join(doc))) == want
+        agreed += want
+    assert 20 < agreed < 110
+
+
+def test_boilerplate_of_many_items_is_cheap():
+    import time
+
+    r = random.Random(6)
+    item = lambda r, n: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(n))
+    common = item(r, 6)
+    items = [(k, item(r, 12) + " " + common + " " + item(r, 12)) for k in range(20_000)]
+    passages = Passages(items)
+    doc = f"{item(r, 30)} {common} {item(r, 30)} {items[77][1]} {item(r, 10)} {common}"
+    passages.find(doc)
+    began = time.perf_counter()
+    found = passages.find_numbered(doc)
+    assert [(f[0], f[5]) for f in found] == [(77, 0)] and time.perf_counter() - began < 0.05
+
+
+def test_every_passage_of_an_item_is_given():
+    text = item(random.Random(3), 30)
+    words = text.split()
+    doc = f"{text} in between {' '.join(words[4:18])} once more {text}"
+    found = Passages([(1, text)]).find_numbered(doc)
+    assert [(f[3], f[5]) for f in found] == [(30, 0), (30, 1), (14, 2)]
+    assert [doc[f[1] : f[2]].split() for f in found] == [words, words, words[4:18]]
+
+
+def test_chinese_items():
+    text = "长江大桥今天上午重新开放交通车辆可以通行"
+    assert [f[3] for f in Passages([(1, text)]).find("报道：“" + text[2:16] + "”，记者说。")] == [14]
+    assert Passages([(1, text)]).find("报道：“" + text[2:12] + "”，记者说。") == []
