@@ -366,6 +366,10 @@ def _stem(form: str) -> str:
     return low[:-2] if low.endswith(("'s", "’s")) else low
 
 
+#: Steps of the recursion from scaling to scaling.
+_SCALE = 4
+
+
 def _chain(e: np.ndarray, mask: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Beliefs of a batch of chains by the forward-backward recursion, and the summed pair beliefs. Padding is at the end."""
     n, top, _ = e.shape
@@ -377,15 +381,22 @@ def _chain(e: np.ndarray, mask: np.ndarray, transitions: np.ndarray, pairs: bool
     alpha = np.empty_like(x)
     beta = np.empty_like(x)
     alpha[0] = x[0] / x[0].sum(1, keepdims=True)
+    # Scaling now and then is enough: a step changes the scale by the transitions' range at most.
     for t in range(1, top):
-        m = (alpha[t - 1] @ a) * x[t]
-        alpha[t] = m / m.sum(1, keepdims=True)
+        m = alpha[t - 1] @ a
+        m *= x[t]
+        if t % _SCALE == 0:
+            m /= m.sum(1, keepdims=True)
+        alpha[t] = m
     beta[top - 1] = 1.0
     back = a.T.copy()
+    ends = ~live.all(1)
     for t in range(top - 2, -1, -1):
         m = (beta[t + 1] * x[t + 1]) @ back
-        m /= m.sum(1, keepdims=True)
-        m[~live[t + 1]] = 1.0
+        if t % _SCALE == 0:
+            m /= m.sum(1, keepdims=True)
+        if ends[t + 1]:
+            m[~live[t + 1]] = 1.0
         beta[t] = m
     belief = alpha * beta
     belief /= belief.sum(2, keepdims=True)
