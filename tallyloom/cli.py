@@ -56,8 +56,7 @@ def run(spark: SparkSession, mode: str, path: str, out: str | None, config: Conf
         _show("site_summary", reports.site_summary(rows))
     if mode in ("graph", "all"):
         members, class_table = graph.classes(rows)
-        edge_table = graph.edges(class_table)
-        ranks = graph.pagerank(class_table, edge_table, rows.select("user_id").distinct().count(), rounds=100, tolerance=0.001)
+        ranks = graph.pagerank(class_table, None, rows.select("user_id").distinct().count(), rounds=100, tolerance=0.001)
         _show("pagerank", graph.ranked_users(ranks, members, 10), 10)
         _show("components", graph.component_sizes(graph.user_components(rows)), 5)
     if mode in ("models", "all"):

@@ -21,7 +21,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 FOCUS = tuple(c.lower() for c in FOCUS_CATEGORIES)
-RANK_ROUNDS = 20
+#: Rounds of PageRank at most, and when it has converged: far below the digits that are shown.
+RANK_ROUNDS, RANK_TOLERANCE = 20, 1e-7
 
 
 def _register(sql: str | None = None) -> Callable[[Query], Query]:
@@ -365,6 +366,20 @@ def graph_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.vertices(valid(spark, sf_dir)).select("user_id")
 
 
+@_register(f"WITH {VALID}, sold AS (SELECT DISTINCT user_id AS end_id, user_id FROM valid WHERE behavior = 'buy'), known AS (SELECT DISTINCT user_id FROM valid WHERE behavior = 'pv') SELECT s.end_id, coalesce(k.user_id, 'Unknown') AS user_id FROM sold s LEFT JOIN known k ON s.user_id = k.user_id")
+def graph_unknown_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buyers as ends of links, over vertices that are viewers only: an end that has no vertex is called Unknown."""
+    log = materialize(valid(spark, sf_dir), "valid")
+    ends = graph.vertices(log.filter("behavior = 'buy'")).select("vertex_id", F.col("user_id").alias("end_id"))
+    return graph.with_unknown(ends, graph.vertices(log.filter("behavior = 'pv'"))).select("end_id", "user_id")
+
+
+@_register(f"WITH {VALID} SELECT count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS ids, CAST(0 AS BIGINT) AS negative FROM valid")
+def graph_vertex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertex ids are the users' own: as many different ones as users, none below 0."""
+    return graph.vertices(valid(spark, sf_dir)).agg(F.count(F.lit(1)).alias("users"), F.countDistinct("vertex_id").alias("ids"), F.sum((F.col("vertex_id") < 0).cast("bigint")).alias("negative"))
+
+
 @_register(f"WITH {_CLASSES} SELECT user_id, class_id FROM member")
 def graph_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buyers and the class of all who bought in the same set of categories."""
@@ -381,13 +396,13 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of users and of linked pairs of users."""
     log = materialize(valid(spark, sf_dir), "valid")
-    links = graph.edges(graph.classes(log)[1]).agg(F.sum("links").alias("edges"))
+    links = graph.count_links(graph.classes(log)[1])
     return log.agg(F.countDistinct("user_id").alias("vertices")).join(F.broadcast(links), F.lit(True))  # one row each
 
 
 def _degree(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     members, class_table = _classes(spark, sf_dir)
-    return members.join(graph.degrees(class_table, graph.edges(class_table)), "class_id").select("user_id", F.col("degree").alias(name))
+    return members.join(graph.degrees(class_table), "class_id").select("user_id", F.col("degree").alias(name))
 
 
 @_register(f"WITH {_DEGREE} SELECT user_id, degree AS out_degree FROM member JOIN deg USING (class_id)")
@@ -422,6 +437,12 @@ def graph_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.component_sizes(graph_components(spark, sf_dir))
 
 
+@_register(f"{_COMPONENTS} SELECT component, count(*) AS size FROM comp GROUP BY component ORDER BY size DESC, component LIMIT 5")
+def graph_top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest components."""
+    return graph_component_sizes(spark, sf_dir).limit(5)
+
+
 _RANKS = f"""WITH RECURSIVE {_DEGREE}, pr(it, class_id, rank) AS (SELECT 0, class_id, CAST(1.0 AS DOUBLE) FROM deg
   UNION ALL SELECT p.it + 1, a.dst, 0.15 + 0.85 * sum(p.rank / d.degree * a.n) FROM pr p JOIN deg d ON d.class_id = p.class_id JOIN arc a ON a.src = p.class_id AND a.n > 0 WHERE p.it < {RANK_ROUNDS} GROUP BY p.it, a.dst),
  final AS (SELECT m.user_id, coalesce(p.rank, 0.15) AS rank FROM member m LEFT JOIN pr p ON p.class_id = m.class_id AND p.it = {RANK_ROUNDS}),
@@ -433,12 +454,12 @@ def _ranks(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
     log = materialize(valid(spark, sf_dir), "valid")
     members, class_table = graph.classes(log)
     users = log.select("user_id").distinct().count()
-    return graph.ranked_users(graph.pagerank(class_table, materialize(graph.edges(class_table), "edges"), users, RANK_ROUNDS), members, n)
+    return graph.ranked_users(graph.pagerank(class_table, None, users, RANK_ROUNDS, RANK_TOLERANCE), members, n)
 
 
 @_register(f"{_RANKS} SELECT user_id, round(rank, 4) AS rank FROM scaled")
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PageRank of every buyer after a fixed number of rounds; the operator also runs to a tolerance."""
+    """PageRank of every buyer, run until it has converged."""
     return _ranks(spark, sf_dir, None).withColumn("rank", F.round("rank", 4))
 
 
