@@ -18,6 +18,8 @@ log = logging.getLogger(__name__)
 _local_dir: dict[str, str] = {}
 #: Folder of this process among those that share the work folder.
 _run = uuid.uuid4().hex
+#: Bucketed tables in the catalogue.
+_tables: list[str] = []
 
 
 def build_session(config: Config | None = None, hive: bool = False, **conf: str) -> SparkSession:
@@ -70,6 +72,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def release_tables(spark: SparkSession) -> None:
     """Deletes the tables that queries of this application left in the shared folder. Frames that still read them must not be used any more."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyloom/{_run}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -86,6 +90,17 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(type(df.schema)(fields)).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df, written once to a table in the shared folder that is bucketed by key into ``spark.sql.shuffle.partitions`` buckets, and read back: aggregates and joins by key of what is read
+    from it need no shuffle."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"tallyloom_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(n, key).sortBy(key).saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df in as many partitions as there are cores at least, for work in Python that costs far more than the shuffle; unchanged if it has them already."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -39,3 +39,20 @@ def test_empty_and_too_many_types(spark):
 
     with pytest.raises(ValueError):
         features.event_types(features.type_rows(frame(spark, [("u", "pv", "a", 1), ("u", "pv", "b", 1)])), most=2)
+
+
+def test_blocks_and_joins_do_not_shuffle(spark):
+    df = frame(spark, [(f"u{k % 50}", "pv", f"c{k % 9}", k + 1) for k in range(900)])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = feature_table(df, block_size=4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 4 and "Exchange" not in plan and found.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_like_names_are_refused(spark):
+    with pytest.raises(ValueError):
+        feature_table(frame(spark, [("u", "a/b", None, 1), ("u", "a", "b", 2)]))
