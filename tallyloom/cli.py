@@ -9,6 +9,8 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+from logging.handlers import TimedRotatingFileHandler
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,14 +75,32 @@ def run(spark: SparkSession, mode: str, path: str, out: str | None, config: Conf
         _show("partitions", tuning.partition_sizes(rows))
 
 
+class DailyLog(TimedRotatingFileHandler):
+    """A log file a day; days beyond ``days``, and the oldest while all together exceed ``most_bytes``, are deleted."""
+
+    def __init__(self, path: str, days: int = 7, most_bytes: int = 1 << 30) -> None:
+        self.most_bytes = most_bytes
+        super().__init__(path, when="midnight", backupCount=days, encoding="utf-8", utc=True)
+        self.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s - %(message)s"))
+
+    def doRollover(self) -> None:  # noqa: N802
+        super().doRollover()
+        here = Path(self.baseFilename)
+        old = sorted(here.parent.glob(here.name + ".*"))
+        while old and sum(f.stat().st_size for f in old) > self.most_bytes:
+            old.pop(0).unlink()
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tallyloom")
     p.add_argument("mode", choices=("gen", *MODES))
     p.add_argument("path")
     p.add_argument("extra", nargs="?", help="rows for gen, else the output folder")
+    p.add_argument("--log", help="file for the log, a new one each day")
+    p.add_argument("--master", help="Spark master; by default the launcher's")
     a = p.parse_args(args)
-    logging.basicConfig(level=logging.INFO)
-    config = Config()
+    logging.basicConfig(level=logging.INFO, handlers=[logging.StreamHandler(), *([DailyLog(a.log)] if a.log else [])])
+    config = Config(master=a.master)
     spark = build_session(config)
     try:
         if a.mode == "gen":

@@ -76,6 +76,16 @@ def filter_categories(df: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     return df.filter(F.col("category").isin(*categories))
 
 
+def node_errors(nodes: DataFrame) -> DataFrame:
+    """Rows of graph nodes (user_id, pv_count) that break their rules: a user, and a count that is not negative."""
+    return nodes.filter(~F.coalesce((F.length("user_id") > 0) & (F.col("pv_count") >= 0), F.lit(False)))
+
+
+def edge_errors(edges: DataFrame) -> DataFrame:
+    """Rows of graph edges (src, dst, weight) that break their rules: both ends, and a weight that is not negative."""
+    return edges.filter(~F.coalesce((F.length("src") > 0) & (F.length("dst") > 0) & (F.col("weight") >= 0) & ~F.isnan(F.col("weight").cast("double")), F.lit(False)))
+
+
 def report_errors(report: DataFrame) -> DataFrame:
     """Rows of a sales report (category, total_pv, total_buy, report_date) that break its rules: counts not negative, category and date not empty."""
     ok = (F.col("total_pv") >= 0) & (F.col("total_buy") >= 0) & (F.length("report_date") > 0) & (F.length("category") > 0)

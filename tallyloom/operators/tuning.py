@@ -37,15 +37,18 @@ def explode_salt(dim: DataFrame, salts: int) -> DataFrame:
     return dim.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def salted_join(facts: DataFrame, dim: DataFrame, key: str, spread_by: list[str], salts: int = 10) -> DataFrame:
-    """Inner join in which a hot key of facts is spread over ``salts`` partitions; dim is repeated so often.
+def salted_join(facts: DataFrame, dim: DataFrame, key: str, spread_by: list[str], salts: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join in which a hot key of facts is spread over ``salts`` partitions; dim is repeated so often. A dim whose estimated size is within broadcast_bytes is broadcast instead, as
+    then nothing is shuffled and there is nothing to spread.
 
     The salt is a hash of spread_by, the same in every run and after a lost executor. Columns of dim other than key must not clash with those of facts; rows with
     a null key drop out.
     """
+    if plan_bytes(dim) <= broadcast_bytes:
+        return facts.join(F.broadcast(dim), key).select(*facts.columns, *[c for c in dim.columns if c != key])
     salted = facts.withColumn("_salted", F.concat_ws("_", F.col(key), F.pmod(F.xxhash64(*spread_by), F.lit(salts)))).filter(F.col(key).isNotNull())
     spread = explode_salt(dim.filter(F.col(key).isNotNull()), salts).withColumn("_salted", F.concat_ws("_", F.col(key), F.col("salt"))).drop(key, "salt")
-    return salted.join(spread, "_salted").drop("_salted")
+    return salted.join(spread.hint("merge"), "_salted").drop("_salted")
 
 
 def timed_count(df: DataFrame, level: StorageLevel) -> tuple[int, float]:

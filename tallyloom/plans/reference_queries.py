@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import clean, graph, propensity, reports, tuning
 from tallyloom.plans.sqltext import DAY, VALID
-from tallyloom.plans.tables import table, valid
+from tallyloom.plans.tables import stored_valid as valid
+from tallyloom.plans.tables import table
 from tallyloom.schema import DISCOUNTS, FOCUS_CATEGORIES
 from tallyloom.session import materialize, new_path
 from tallyloom.sinks import tables as sinks
@@ -168,6 +169,14 @@ def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("topic_partition", "kafka_offset", F.from_json(F.col("value").cast("string"), sources.MESSAGE_DDL).alias("data")).select("topic_partition", "kafka_offset", "data.*")
 
 
+@_register("""WITH m AS (SELECT topic_partition, kafka_offset, try(decode(value)) AS t FROM kafka_behavior), j AS (SELECT * FROM m WHERE json_valid(t) AND json_type(t) = 'OBJECT')
+ SELECT topic_partition, kafka_offset, t ->> '$.userId' AS "userId", t ->> '$.itemId' AS "itemId", t ->> '$.behavior' AS behavior, CAST(t ->> '$.timestamp' AS BIGINT) AS "timestamp" FROM j
+ WHERE json_type(t, '$.userId') = 'VARCHAR' AND json_type(t, '$.itemId') = 'VARCHAR' AND json_type(t, '$.behavior') = 'VARCHAR' AND json_type(t, '$.timestamp') IN ('BIGINT', 'UBIGINT')""")
+def json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose four fields are all there."""
+    return json_parse(spark, sf_dir).dropna()
+
+
 @_register(f"WITH {VALID}, c AS (SELECT DISTINCT category FROM valid) SELECT category, CAST(s AS INTEGER) AS salt, category || '_' || s AS salted_key FROM c, range(10) AS r(s)")
 def explode_salt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tuning.explode_salt(valid(spark, sf_dir).select("category").distinct(), 10).withColumn("salted_key", F.concat("category", F.lit("_"), "salt"))
@@ -208,7 +217,8 @@ def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows joined with the discount of their category, hot categories spread over ten salts."""
     dim = _discounts(spark, sf_dir).groupBy("category").agg(F.max("discount").alias("discount"))
     log = valid(spark, sf_dir)
-    return tuning.salted_join(log, dim, "category", ["user_id", "item_id", "ts"])
+    # The discounts are small enough to be broadcast, but the query is to show the join of two large sides.
+    return tuning.salted_join(log, dim, "category", ["user_id", "item_id", "ts"], broadcast_bytes=-1)
 
 
 @_register(f"WITH {VALID} SELECT DISTINCT user_id, category FROM valid WHERE behavior = 'buy'")
@@ -244,6 +254,18 @@ def realtime_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.realtime_metrics(valid(spark, sf_dir))
 
 
+@_register(f"WITH {VALID}, {_CATEGORY} SELECT * FROM metrics ORDER BY total_interactions DESC, category LIMIT 5")
+def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five categories with most interactions, as the dashboard shows them."""
+    return category_metrics(spark, sf_dir).orderBy(F.desc("total_interactions"), "category").limit(5)
+
+
+@_register(_SQL["realtime_metrics"] + " ORDER BY window_start DESC, total_events DESC, category LIMIT 12")
+def latest_realtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve latest rows of realtime_metrics."""
+    return realtime_metrics(spark, sf_dir).orderBy(F.desc("window_start"), F.desc("total_events"), "category").limit(12)
+
+
 def _rules_sql() -> str:
     return " UNION ALL ".join(
         f"SELECT '{t}' AS alert_type, '{level}' AS alert_level, category, '{m}' AS metric_name, CAST({m} AS DOUBLE) AS metric_value, CAST({v} AS DOUBLE) AS threshold, concat_ws(' ', category, '{m}', '{'above' if s > 0 else 'below'}', 'threshold') AS description FROM metrics WHERE {m} {'>' if s > 0 else '<'} {v}"
@@ -305,7 +327,7 @@ def _flat(df: DataFrame) -> DataFrame:
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid rows as a stream, from a table of the shared folder; so repeated rows are gone, which a stream could only drop with unbounded state."""
     path = new_path(spark, "events")
-    valid(spark, sf_dir).write.parquet(path)
+    valid(spark, sf_dir).write.parquet(path)  # a folder that nothing else writes to
     return _events(sources.file_stream(spark, path))
 
 
@@ -332,12 +354,13 @@ def stream_kafka_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(_SLIDING)
 def stream_pvuv_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and visitors per sliding window in update mode with a watermark; the last value of each window."""
-    return _flat(windows.drain(spark, windows.sliding_windows(_event_stream(spark, sf_dir), watermark="10 seconds"), "update", ["window", "behavior"]))
+    rows = windows.visitor_rows(_event_stream(spark, sf_dir), watermark="10 seconds")
+    return _flat(windows.visitors(windows.drain(spark, rows, "update", ["window", "behavior", "user_id"])))
 
 
 @_register(_SLIDING)
 def stream_pvuv_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(windows.drain(spark, windows.sliding_windows(_event_stream(spark, sf_dir)), "complete"))
+    return _flat(windows.visitors(windows.drain(spark, windows.visitor_rows(_event_stream(spark, sf_dir)), "complete")))
 
 
 @_register()
@@ -369,7 +392,7 @@ def graph_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"WITH {VALID}, sold AS (SELECT DISTINCT user_id AS end_id, user_id FROM valid WHERE behavior = 'buy'), known AS (SELECT DISTINCT user_id FROM valid WHERE behavior = 'pv') SELECT s.end_id, coalesce(k.user_id, 'Unknown') AS user_id FROM sold s LEFT JOIN known k ON s.user_id = k.user_id")
 def graph_unknown_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buyers as ends of links, over vertices that are viewers only: an end that has no vertex is called Unknown."""
-    log = materialize(valid(spark, sf_dir), "valid")
+    log = valid(spark, sf_dir)
     ends = graph.vertices(log.filter("behavior = 'buy'")).select("vertex_id", F.col("user_id").alias("end_id"))
     return graph.with_unknown(ends, graph.vertices(log.filter("behavior = 'pv'"))).select("end_id", "user_id")
 
@@ -395,7 +418,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"WITH {_EDGES} SELECT (SELECT count(DISTINCT user_id) FROM valid) AS vertices, (SELECT CAST(sum(links) AS BIGINT) FROM edge) AS edges")
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of users and of linked pairs of users."""
-    log = materialize(valid(spark, sf_dir), "valid")
+    log = valid(spark, sf_dir)
     links = graph.count_links(graph.classes(log)[1])
     return log.agg(F.countDistinct("user_id").alias("vertices")).join(F.broadcast(links), F.lit(True))  # one row each
 
@@ -429,7 +452,7 @@ _COMPONENTS = f"""WITH RECURSIVE {_CLASSES}, pairs AS (SELECT DISTINCT a.categor
 
 @_register(f"{_COMPONENTS} SELECT user_id, component FROM comp")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.user_components(materialize(valid(spark, sf_dir), "valid"))
+    return graph.user_components(valid(spark, sf_dir))
 
 
 @_register(f"{_COMPONENTS} SELECT component, count(*) AS size FROM comp GROUP BY component")
@@ -451,7 +474,7 @@ _RANKS = f"""WITH RECURSIVE {_DEGREE}, pr(it, class_id, rank) AS (SELECT 0, clas
 
 
 def _ranks(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
-    log = materialize(valid(spark, sf_dir), "valid")
+    log = valid(spark, sf_dir)
     members, class_table = graph.classes(log)
     users = log.select("user_id").distinct().count()
     return graph.ranked_users(graph.pagerank(class_table, None, users, RANK_ROUNDS, RANK_TOLERANCE), members, n)
@@ -504,6 +527,16 @@ def ml_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
+@_register(f"WITH {_FEATURES} SELECT count(*) AS cnt, CAST(sum(label) AS BIGINT) AS buyers, CAST(0 AS BIGINT) AS in_both, TRUE AS near_four_fifths FROM lab")
+def ml_split_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and purchasers of both parts together, users in both, and whether the training part has about four fifths."""
+    train, test = _data(spark, sf_dir)
+    both = train.select("user_id", "label", F.lit(1).alias("train")).unionByName(test.select("user_id", "label", F.lit(0).alias("train")))
+    users = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"), F.max("train").alias("train"))
+    share = F.avg("train")
+    return users.agg(F.count(F.lit(1)).alias("cnt"), F.sum("label").cast("bigint").alias("buyers"), F.sum((F.col("n") > 1).cast("bigint")).alias("in_both"), ((share > 0.75) & (share < 0.85)).alias("near_four_fifths"))
+
+
 def _predictions(spark: SparkSession, sf_dir: str, forest: bool) -> DataFrame:
     train, test = _data(spark, sf_dir)
     return (propensity.random_forest() if forest else propensity.logistic_regression()).fit(train).transform(test)

@@ -38,7 +38,8 @@ class Config:
     """
 
     app_name: str = "tallyloom"
-    master: str = "local[*]"
+    #: None leaves it to the launcher, which runs locally unless told otherwise.
+    master: str | None = None
     feature_timezone: str = "Asia/Shanghai"
     data_dir: str = "data"
     output_dir: str = "output"
@@ -69,7 +70,7 @@ class Config:
     def __post_init__(self) -> None:
         checks = {
             "app_name must not be empty": bool(self.app_name),
-            "master must not be empty": bool(self.master),
+            "master must not be empty": self.master is None or bool(self.master),
             "data_dir must not be empty": bool(self.data_dir),
             "jdbc_batch_size must be positive": self.jdbc_batch_size > 0,
             "jdbc_partitions must be positive": self.jdbc_partitions > 0,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import logging
+import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,8 @@ log = logging.getLogger(__name__)
 _local_dir: dict[str, str] = {}
 #: Folder of this process among those that share the work folder.
 _run = uuid.uuid4().hex
+#: Path and schema of stored tables.
+_stored: dict[tuple, tuple] = {}
 #: Bucketed tables in the catalogue.
 _tables: list[str] = []
 
@@ -27,7 +31,6 @@ def build_session(config: Config | None = None, hive: bool = False, **conf: str)
     c = config or Config()
     b = (
         SparkSession.builder.appName(c.app_name)
-        .master(c.master)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(c.shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -35,10 +38,11 @@ def build_session(config: Config | None = None, hive: bool = False, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.autoBroadcastJoinThreshold", str(c.broadcast_bytes))
         .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
-        .config("spark.default.parallelism", str(c.default_parallelism))
-        .config("spark.executor.memory", c.executor_memory)
-        .config("spark.driver.memory", c.driver_memory)
     )
+    if c.master:
+        b = b.master(c.master)
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # else whoever submitted the application has settled its resources
+        b = b.config("spark.default.parallelism", str(c.default_parallelism)).config("spark.executor.memory", c.executor_memory).config("spark.driver.memory", c.driver_memory)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     if hive:
@@ -70,12 +74,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyloom/{_run}/{name}-{uuid.uuid4().hex}"
 
 
-def release_tables(spark: SparkSession) -> None:
-    """Deletes the tables that queries of this application left in the shared folder. Frames that still read them must not be used any more."""
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, written once per application to a table in the shared folder and read back by all who ask for the same name and source. It is made anew when the files at the
+    source, a path, have changed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(p)
+    key = (spark.sparkContext.applicationId, name, source, tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files)))
+    if key not in _stored:
+        path = new_path(spark, name)
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+        _stored[key] = (path, df.schema)
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def release_tables(spark: SparkSession, keep_stored: bool = False) -> None:
+    """Deletes the tables that queries of this application left in the shared folder; keep_stored: but those of ``stored``. Frames that still read them must not be used any more."""
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyloom/{_run}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not keep_stored:
+        _stored.clear()
+        fs.delete(path, True)
+    elif fs.exists(path):
+        kept = {p.rsplit("/", 1)[1] for p, _ in _stored.values()}
+        for f in fs.listStatus(path):
+            if f.getPath().getName() not in kept:
+                fs.delete(f.getPath(), True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -113,7 +141,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_tallyloom_shipped", False):
         return
     root = Path(__file__).parent
-    path = Path(tempfile.mkdtemp(prefix="tallyloom-ship-")) / "tallyloom.zip"
+    folder = tempfile.mkdtemp(prefix="tallyloom-ship-")  # the driver's own; executors fetch the file from it
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder) / "tallyloom.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))

@@ -87,7 +87,11 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def generate(spark: SparkSession, rows: int = 100_000, seed: int = 42, start: int = 1_700_000_000, users: int = 5000, items: int = 20_000, days: int = 7) -> DataFrame:
+#: First second, users, items and days of the generator.
+GENERATOR_START, GENERATOR_USERS, GENERATOR_ITEMS, GENERATOR_DAYS = 1_700_000_000, 5000, 20_000, 7
+
+
+def generate(spark: SparkSession, rows: int = 100_000, seed: int = 42, start: int = GENERATOR_START, users: int = GENERATOR_USERS, items: int = GENERATOR_ITEMS, days: int = GENERATOR_DAYS) -> DataFrame:
     """A synthetic log, the same for the same arguments: every value is a hash of seed, row and column, so partitioning doesn't matter."""
     draw = lambda k, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("id")), F.lit(n).cast("bigint"))
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))

@@ -18,8 +18,8 @@ log = logging.getLogger(__name__)
 def sliding_windows(events: DataFrame, width: str = "60 seconds", slide: str = "30 seconds", watermark: str | None = None, approximate: bool = False) -> DataFrame:
     """window, behavior, pv and uv of events (event_time TIMESTAMP, behavior, user_id), on a stream or a table.
 
-    Streams can't count distinct values incrementally, so uv is the size of the set of users, exact; ``approximate`` keeps a sketch of fixed size instead, for
-    windows with very many users. A watermark closes windows and drops later rows; without one a stream keeps every window.
+    Streams can't count distinct values incrementally, so uv is the size of the set of users, exact, which is one row of state: for windows with very many users take ``approximate``,
+    a sketch of fixed size, or visitor_rows, which are exact and keep rows instead. A watermark closes windows and drops later rows; without one a stream keeps every window.
     """
     if watermark:
         events = events.withWatermark("event_time", watermark)
@@ -32,6 +32,19 @@ def sliding_windows_batch(events: DataFrame, width: str = "60 seconds", slide: s
     return events.groupBy(F.window("event_time", width, slide), "behavior").agg(F.count(F.lit(1)).alias("pv"), F.countDistinct("user_id").alias("uv"))
 
 
+def visitor_rows(events: DataFrame, width: str = "60 seconds", slide: str = "30 seconds", watermark: str | None = None) -> DataFrame:
+    """window, behavior, user_id and views of each visitor, on a stream or a table: what exact visitor counts of any number of users need. A row of state for each, spread by all of
+    its keys, so no window's users are ever in one row or task."""
+    if watermark:
+        events = events.withWatermark("event_time", watermark)
+    return events.groupBy(F.window("event_time", width, slide), "behavior", "user_id").agg(F.count(F.lit(1)).alias("views"))
+
+
+def visitors(rows: DataFrame) -> DataFrame:
+    """window, behavior, pv and uv of visitor_rows, the last of each key."""
+    return rows.groupBy("window", "behavior").agg(F.sum("views").alias("pv"), F.count("user_id").alias("uv"))
+
+
 def start_console(df: DataFrame, mode: str, trigger: str = "10 seconds", checkpoint: str | None = None, rows: int = 20) -> StreamingQuery:
     """Prints each batch. The checkpoint belongs to the writer."""
     w = df.writeStream.outputMode(mode).format("console").option("truncate", False).option("numRows", rows).trigger(processingTime=trigger)

@@ -64,3 +64,10 @@ def test_generator_is_repeatable(spark):
 def test_report_errors(spark):
     df = spark.createDataFrame([("a", 1, 0, "2024-01-01"), ("", 1, 0, "d"), ("b", -1, 0, "d"), ("c", 1, None, "d")], "category string, total_pv bigint, total_buy bigint, report_date string")
     assert clean.report_errors(df).count() == 3
+
+
+def test_node_and_edge_errors(spark):
+    nodes = spark.createDataFrame([("u", 0), ("", 1), (None, 1), ("v", -1), ("w", None)], "user_id string, pv_count bigint")
+    assert clean.node_errors(nodes).count() == 4
+    edges = spark.createDataFrame([("a", "b", 0.0), ("", "b", 1.0), ("a", None, 1.0), ("a", "b", -0.5), ("a", "b", float("nan")), ("a", "b", None)], "src string, dst string, weight double")
+    assert clean.edge_errors(edges).count() == 5

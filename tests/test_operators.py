@@ -59,6 +59,17 @@ def test_salted_join_keeps_rows(spark):
     assert tuning.salted_join(holes, dim, "category", ["ts"]).count() == 0
 
 
+def test_salted_join_spreads_only_what_is_shuffled(spark):
+    df = log(spark)
+    dim = df.select("category").distinct().selectExpr("category", "length(category) as size")
+    small = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{c}', {len(c)})" for c in sorted({r[0] for r in dim.collect()})) + " AS t(category, size)")
+    plain = df.join(dim, "category").select(*df.columns, "size")
+    for found, joined, salted in ((tuning.salted_join(df, small, "category", ["ts"], broadcast_bytes=1 << 40), "BroadcastHashJoin", False), (tuning.salted_join(df, small, "category", ["ts"], broadcast_bytes=-1), "SortMergeJoin", True)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert joined in plan and ("_salted" in plan) == salted
+        assert rows(found) == rows(plain)
+
+
 def test_lookup(spark):
     df = log(spark, 100)
     dim = spark.createDataFrame([("Books", 0.5), ("Books", None), ("Toys", 0.1), (None, 9.0), ("Food", None)], "category string, discount double")
@@ -163,6 +174,17 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert rows(found, "pv", "uv") == [(2, 2), (3, 3)]
 
 
+def test_visitor_rows_give_exact_visitors(spark, tmp_path):
+    path = str(tmp_path / "in")
+    data = [("a", "pv", 5), ("a", "pv", 7), ("b", "pv", 9), (None, "pv", 10), ("b", "buy", 70), ("a", "pv", 65)]
+    events = spark.createDataFrame(data, "user_id string, behavior string, ts bigint").withColumn("event_time", sources.event_time(spark_col("ts")))
+    events.write.parquet(path)
+    want = rows(windows.sliding_windows_batch(events), "behavior", "pv", "uv")
+    for mode, keys in (("update", ["window", "behavior", "user_id"]), ("complete", None)):
+        stream = windows.visitor_rows(sources.file_stream(spark, path), watermark="10 seconds" if mode == "update" else None)
+        assert rows(windows.visitors(windows.drain(spark, stream, mode, keys)), "behavior", "pv", "uv") == want
+
+
 def spark_col(name):
     from pyspark.sql import functions as F
 
