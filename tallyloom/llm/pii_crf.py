@@ -148,9 +148,17 @@ class SkipChain:
             prepared.append((feats, [np.array(y, np.int64) for *_, y in group], _skip_edges([(f, c) for f, c, _ in group])))
         # What the chain has learnt by heart needs no help of like tokens, so the skip weights learn from batches that the chain doesn't learn from.
         apart = set(rng.choice(len(prepared), len(prepared) // 5, replace=False).tolist())
-        for _ in range(epochs):
-            for b in rng.permutation(len(prepared)):
+        mean, seen = [np.zeros(w.shape) for w in (self.weights, self.transitions)], 0
+        for epoch in range(epochs):
+            for k, b in enumerate(rng.permutation(len(prepared))):
                 self._step(*prepared[b], *sums, rate, decay, int(b) in apart)
+                if epoch == epochs - 1 and k % 8 == 0:
+                    mean[0] += self.weights
+                    mean[1] += self.transitions
+                    seen += 1
+        # The mean over the last epoch swings less with the order of the texts than the last weights do.
+        if seen:
+            self.weights, self.transitions = (mean[0] / seen).astype(np.float32), (mean[1] / seen).astype(np.float32)
 
     def _step(self, feats, labels, edges, grad2_w, grad2_t, grad2_s, rate, decay, apart) -> None:
         lengths = [len(y) for y in labels]
