@@ -26,8 +26,8 @@ def _days() -> list[Column]:
 
 
 def daily_rows(log: DataFrame, unique_by: list[str] | None = None) -> DataFrame:
-    """user_id, behavior, category, day, n, last_ts of a log of user_id, behavior, category, ts. Rows with a null entity, behavior or time are left out; a null category
-    stays. unique_by: columns, user_id and ts among them, in which rows alike count once.
+    """user_id, behavior, pair, day, n, last_ts of a log of user_id, behavior, category, ts; pair is ``behavior/category``, null for a null category. Rows with a null entity, behavior or
+    time are left out. unique_by: columns, user_id and ts among them, in which rows alike count once.
 
     The first shuffle splits each entity by minute, so an entity with a third of all rows is spread over as many tasks as it has minutes; what is left after
     counting by (entity, minute, behavior, category) goes to the entity's one task.
@@ -38,11 +38,8 @@ def daily_rows(log: DataFrame, unique_by: list[str] | None = None) -> DataFrame:
         rows = rows.select(*unique_by, *[c for c in ("user_id", "behavior", "category", "ts", "_minute") if c not in unique_by]).distinct()
     counted = rows.groupBy("user_id", "_minute", "behavior", "category").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
     buckets = max(1, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return counted.repartition(buckets, "user_id").groupBy("user_id", "behavior", "category", day_number(F.col("last_ts")).alias("day")).agg(*_day())
-
-
-def _pair() -> Column:
-    return F.concat_ws("/", "behavior", "category")
+    daily = counted.repartition(buckets, "user_id").groupBy("user_id", "behavior", "category", day_number(F.col("last_ts")).alias("day")).agg(*_day())
+    return daily.select("user_id", "behavior", F.concat("behavior", F.lit("/"), "category").alias("pair"), "day", "n", "last_ts")
 
 
 def _of_all(daily: DataFrame) -> DataFrame:
@@ -55,8 +52,8 @@ def _of_behaviors(daily: DataFrame) -> DataFrame:
 
 
 def _of_pairs(daily: DataFrame) -> DataFrame:
-    days = daily.filter("category is not null").groupBy("user_id", "behavior", "category").agg(*_days())
-    return days.select("user_id", _pair().alias("event_type"), "n", "days", "last_ts")
+    days = daily.filter("pair is not null").groupBy("user_id", "behavior", "pair").agg(*_days())
+    return days.select("user_id", F.col("pair").alias("event_type"), "n", "days", "last_ts")
 
 
 def type_rows(log: DataFrame, unique_by: list[str] | None = None) -> DataFrame:
@@ -95,11 +92,11 @@ def feature_table(log: DataFrame, block_size: int = 100, as_of: int | None = Non
     no rows.
     """
     daily = bucketed(daily_rows(log, unique_by), "daily", "user_id")
-    kinds = F.array_compact(F.array(F.struct(F.lit(True).alias("single"), F.col("behavior").alias("event_type")), F.when(F.col("category").isNotNull(), F.struct(F.lit(False).alias("single"), _pair().alias("event_type")))))
-    found = daily.select("behavior", "category").distinct().select(F.explode(kinds).alias("k")).select("k.*").distinct()
+    kinds = F.array_compact(F.array(F.struct(F.lit(True).alias("single"), F.col("behavior").alias("event_type")), F.when(F.col("pair").isNotNull(), F.struct(F.lit(False).alias("single"), F.col("pair").alias("event_type")))))
+    found = daily.select("behavior", "pair").distinct().select("behavior", F.explode(kinds).alias("k")).select("k.*", F.when(~F.col("k.single"), F.col("behavior")).alias("of")).distinct()
     behaviors, pairs = _names(found)
-    if {ALL, *behaviors} & set(pairs) or ALL in behaviors:
-        raise ValueError("a behavior is named like another event type")
+    if len({ALL, *behaviors, *pairs}) < 1 + len(behaviors) + len(pairs):
+        raise ValueError("two event types have one name")
     names = sorted([ALL, *behaviors, *pairs]) if types is None else list(types)
     if as_of is None:
         as_of = daily.agg(F.max("last_ts")).first()[0] or 0
@@ -110,7 +107,7 @@ def feature_table(log: DataFrame, block_size: int = 100, as_of: int | None = Non
         own = [t for t in names if t != ALL and (t in level if level is not None else t not in behaviors)]
         for i in range(0, len(own), block_size):
             block = own[i : i + block_size]
-            wanted = daily.filter(F.col("behavior").isin(block) if level is not None else _pair().isin(block))
+            wanted = daily.filter(F.col("behavior").isin(block) if level is not None else F.col("pair").isin(block))
             entries = F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n", "days", "last_ts"))))
             table = table.join(of(wanted).groupBy("user_id").agg(entries.alias(f"_block{len(blocks)}")), "user_id", "left")
             blocks.append(block)

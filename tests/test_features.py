@@ -56,3 +56,5 @@ def test_blocks_and_joins_do_not_shuffle(spark):
 def test_like_names_are_refused(spark):
     with pytest.raises(ValueError):
         feature_table(frame(spark, [("u", "a/b", None, 1), ("u", "a", "b", 2)]))
+    with pytest.raises(ValueError):
+        feature_table(frame(spark, [("u", "a/b", "c", 1), ("u", "a", "b/c", 2)]))
