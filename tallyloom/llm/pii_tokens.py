@@ -11,8 +11,9 @@ _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt|punto)\s?[)\]}]\s?|\s(?:dot|punkt|punto)
 _AT = r"(?:\s?@\s?|%40|\s?[(\[{]\s?(?:at|ät|arroba)\s?[)\]}]\s?|\s(?:at|ät|arroba)\s(?=[\w-]+(?:\s(?:dot|punkt|punto)\s|\s?[(\[{]\s?(?:dot|punkt|punto)))|#at#)"
 _PART = r"[A-Za-z0-9_+\-À-ÖØ-öø-ɏ]+"
 _D = r"\d"
-#: Token kinds in order of precedence.
+#: Token kinds in order of precedence. Most tokens are plain words, so these are tried first, where nothing after them could make them part of something else.
 _KINDS = [
+    ("PLAIN", r"[a-z]{3,}(?=[,;!?)]|[ \n](?!@|[(\[{]|(?:dot|punkt|punto|at|ät|arroba)\b))"),
     ("TAG", r"</?(?:p|br|b|i|u|em|strong|span|div|li|ul|ol|td|tr|th|table|h[1-6]|a|font)\b[^<>@]*>|&(?:#\d{1,7}|[a-z]{2,8});"),
     ("EMAIL", rf"(?<![A-Za-z0-9_.+-]){_PART}(?:{_DOT}{_PART})*{_AT}(?:[A-Za-z0-9\-À-ÖØ-öø-ɏ]+{_DOT})+[A-Za-z][A-Za-z0-9\-]+"),
     ("URL", r"(?:https?://|www\.)\S+|\b[A-Za-z0-9\-]+(?:\.[A-Za-z\-]+)+/\S*"),
@@ -129,6 +130,12 @@ def tokens(text: str) -> tuple[list[str], list[str], list[int], list[int]]:
     for m in TOKEN.finditer(flat):
         kind, s = m.lastgroup, m[0]
         a, b = m.span()
+        if kind == "PLAIN":
+            forms.append(s)
+            classes.append(token_class("WORD", s))
+            starts.append(a)
+            ends.append(b)
+            continue
         if kind == "NUM" and s[0] == "(" and s.count("(") > s.count(")"):
             a, s = a + 1, s[1:]
         elif kind == "PLUSNUM" and s[0] == "(" and ")" not in s:
