@@ -351,6 +351,12 @@ def stream_kafka_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.drain(spark, stream, "append")
 
 
+@_register(f'SELECT "userId", "itemId", behavior, "timestamp" FROM ({_SQL["json_whole"]})')
+def stream_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a stream whose four fields are all there."""
+    return stream_kafka_json(spark, sf_dir).dropna()
+
+
 @_register(_SLIDING)
 def stream_pvuv_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and visitors per sliding window in update mode with a watermark; the last value of each window."""
