@@ -200,3 +200,15 @@ def test_skip_edges_of_small_letters_short_and_chinese_words():
 def test_skip_edges_of_similar_words():
     left, right, sort = _skip_edges([tokens("Karsholm's parcel, for Karsholn")[:2]])
     assert [(int(a[1]), int(b[1]), int(k)) for a, b, k in zip(left, right, sort)] == [(0, 4, 1)]
+
+
+def test_training_texts_without_vocabularies():
+    from tallyloom.llm import pii_training
+
+    assert pii_training.everyday_words("/nowhere") == {}
+    m = Maker(1)
+    m.everyday = {}
+    for _ in range(300):
+        text, spans = m.document()
+        assert all(0 <= a < b <= len(text) and k for a, b, k in spans)
+    assert [Maker(4).document() for _ in range(2)] == [Maker(4).document() for _ in range(2)]
